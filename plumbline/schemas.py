@@ -67,6 +67,7 @@ VERSION_EVENTS = T.StructType(
         T.StructField("related_finding_ids", _SA),
         T.StructField("related_claim_ids", _SA),
         T.StructField("resolves_event_ids", _SA),
+        T.StructField("resolves_finding_ids", _SA),
         T.StructField("supersedes_versions", _SA),
     ]
 )
