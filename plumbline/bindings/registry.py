@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["numeric", "ledger", "claims"]
+MODULES = ["numeric", "ledger", "claims", "bibliography"]
 
 
 def _merged(attribute: str) -> dict:

@@ -52,23 +52,37 @@ def validate_ledger(findings: DataFrame) -> DataFrame:
             "review flag must match the manual requests",
         ),
     )
-    # one pass over the joined texts decides whether the messages are worked out at all
-    suspect = safety.suspicious(_all_text(findings))
-    unsafe = F.transform(F.when(suspect, record_safety_issues(findings)).otherwise(F.array().cast("array<string>")), lambda m: F.struct(_kind_of(m).alias("kind"), m.alias("message")))
-    # unsafe texts are looked for only in records that pass the schema rules
     rows = findings.withColumn("_schema", schema)
-    rows = rows.withColumn("_all", F.when(F.size("_schema") > 0, F.col("_schema")).otherwise(unsafe))
-    return rows.where(F.size("_all") > 0).select(
-        "package_id", "finding_id", "seq", F.explode("_all").alias("i")
-    ).select("package_id", "finding_id", "seq", "i.kind", "i.message")
+    broken = rows.select("package_id", "finding_id", "seq", F.explode("_schema").alias("i")).select(
+        "package_id", "finding_id", "seq", "i.kind", "i.message"
+    )
+    # unsafe texts are looked for only in records that pass the schema rules
+    return broken.unionByName(record_safety_issues(rows.where(F.size("_schema") == 0)))
 
 
-def _all_text(findings: DataFrame) -> Column:
-    lists = [c for c in ("manual_requests", "alternative_explanations", "false_positive_risks", "limitations")]
-    plain = ["finding_id", "rule_id", "type", "finding_category", "source_file", "table_id", "safe_report_language", "correlation_group"]
-    ev = [F.concat_ws("\n", F.col(f"evidence.{k}")) for k in ("source", "location", "quote")]
-    meta = [F.concat_ws("\n", F.map_values("metadata")), F.concat_ws("\n", F.map_keys("metadata"))]
-    return F.concat_ws("\n", *plain, *lists, "resolution_status", *ev, *meta)
+def record_safety_issues(findings: DataFrame) -> DataFrame:
+    """Distinct safety messages over every text and metadata key of a finding.
+
+    One cheap test over the joined texts of a record decides whether its texts are
+    looked at one by one.
+    """
+    suspect = findings.where(safety.suspicious(_all_text()))
+    texts = suspect.select("package_id", "finding_id", "seq", F.explode(F.split(_all_text(), "\u0002")).alias("text"))
+    found = texts.select("package_id", "finding_id", "seq", F.explode(safety.text_safety_issues(F.col("text"))).alias("message"))
+    keys = findings.select(
+        "package_id", "finding_id", "seq", F.explode(safety.auth_key_issues(F.map_keys("metadata"))).alias("message")
+    )
+    return found.unionByName(keys).distinct().select("package_id", "finding_id", "seq", _kind_of(F.col("message")).alias("kind"), "message")
+
+
+def _all_text() -> Column:
+    """All texts of a finding, joined by a control character that no pattern crosses."""
+    plain = ["finding_id", "rule_id", "type", "finding_category", "source_file", "table_id", "safe_report_language"]
+    lists = ["manual_requests", "alternative_explanations", "false_positive_risks", "limitations"]
+    located = [F.col(f"evidence.{k}") for k in ("source", "location", "quote")]
+    return F.concat_ws(
+        "\u0002", *plain, "correlation_group", "resolution_status", *lists, *located, F.map_values("metadata"), F.map_keys("metadata")
+    )
 
 
 def _kind_of(message: Column) -> Column:
@@ -79,31 +93,6 @@ def _kind_of(message: Column) -> Column:
     )
 
 
-def record_safety_issues(findings: DataFrame) -> Column:
-    """Distinct safety messages over every text and key of a finding."""
-    texts = F.flatten(
-        F.array(
-            F.array(
-                *[F.coalesce(F.col(c), F.lit("")) for c in (
-                    "finding_id", "rule_id", "type", "finding_category", "source_file", "table_id", "safe_report_language",
-                    "correlation_group", "resolution_status",
-                )]
-            ),
-            *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (
-                "manual_requests", "alternative_explanations", "false_positive_risks", "limitations",
-            )],
-            F.coalesce(
-                F.flatten(F.transform("evidence", lambda e: F.array(*[F.coalesce(e[k], F.lit("")) for k in ("source", "location", "quote")]))),
-                F.array().cast("array<string>"),
-            ),
-            F.coalesce(F.transform(F.map_values("metadata"), lambda v: F.coalesce(v, F.lit(""))), F.array().cast("array<string>")),
-        )
-    )
-    keys = F.coalesce(F.map_keys("metadata"), F.array().cast("array<string>"))
-    found = F.flatten(F.transform(texts, safety.text_safety_issues))
-    return F.array_distinct(F.concat(safety.auth_key_issues(keys), found))
-
-
 def safety_issues(records: DataFrame, key: str, text: str) -> DataFrame:
     """Safety messages in one text column, one row per record and message."""
     return records.select(key, F.explode(F.array_distinct(safety.text_safety_issues(F.col(text)))).alias("message")).select(

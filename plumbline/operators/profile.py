@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import cells as C
 from plumbline.operators import ordered
@@ -222,7 +223,7 @@ MIN_STEP_TO_PRECISION = 1.5
 SALTS = 64
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.gcd(a.to_numpy(dtype=np.int64), b.to_numpy(dtype=np.int64)))
 
