@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["numeric", "ledger", "claims", "bibliography", "pv"]
+MODULES = ["numeric", "ledger", "claims", "bibliography", "pv", "curves"]
 
 
 def _merged(attribute: str) -> dict:

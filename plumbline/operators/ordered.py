@@ -101,3 +101,41 @@ def islands(df: DataFrame, keys: list[str], order: str, chunk: str, value: str)
         F.max(order).alias("run_end"),
         F.min(value).alias("run_value"),
     )
+
+
+def with_value_chunk(df: DataFrame, keys: list[str], value: str, name: str = "_chunk") -> DataFrame:
+    """Add a chunk number that grows with a numeric column.
+
+    A group gets one equal slice of its range per ``CHUNK_ROWS`` rows, so ordinary
+    groups stay in one piece.
+    """
+    span = df.groupBy(*keys).agg(
+        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
+    slices = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS))
+    place = F.when(F.col("_hi") > F.col("_lo"), (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return _match(df, span, keys).withColumn(name, F.floor(place * slices).cast("long")).drop("_lo", "_hi", "_n")
+
+
+def with_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name`` = place of the row in its group, counted from 1.
+
+    Rows are range-partitioned by group and order, so a large group spans several
+    partitions. The result is written to the shared folder once, which fixes the
+    partition of every row; places are then local places plus the rows before.
+    """
+    from plumbline.session import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    fixed = materialize(ranged, "ranked")
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        fixed.groupBy(*keys, "_part")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    local = fixed.withColumn("_local", F.row_number().over(within))
+    return _match(local, offsets, [*keys, "_part"]).withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset", "_part")

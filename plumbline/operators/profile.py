@@ -165,7 +165,8 @@ def _neighbours(scaled: DataFrame) -> DataFrame:
     """Distinct values with the next smaller one; equal slices of the range are the chunks."""
     span = (F.col("v1") - F.col("v0")).cast("double")
     place = F.when(span > 0, (F.col("v") - F.col("v0")).cast("double") / span).otherwise(0.0)
-    chunked = scaled.withColumn("_chunk", F.floor(place * 512).cast("long"))
+    slices = F.ceil(F.col("total") / F.lit(ordered.CHUNK_ROWS))
+    chunked = scaled.withColumn("_chunk", F.floor(place * slices).cast("long"))
     return ordered.with_previous(chunked, KEYS, "k", "_chunk", ["k"], "_prev").where(F.col("_prev").isNotNull())
 
 
