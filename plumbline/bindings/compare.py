@@ -60,7 +60,7 @@ def segment_query(spark, sf):
     copied = F.col("s").between(10, 30)
     second = r.select(
         "spec_id", F.concat("spec_id", F.lit("-b")).alias("curve_id"), F.col("s").alias("seq"), (F.col("s") * 3.0 + 1).alias("x"),
-        F.when(copied, F.col("p") * 0.5 + 7).otherwise(F.col("c") * F.col("c") % 977).alias("y"),
+        F.when(copied, F.col("p") * 0.5 + 7).otherwise(F.lit(900000.0) - F.col("p")).alias("y"),
     )
     return CC.curve_segment_similarity(specs, first, second).select("spec_id", "status", "first_start", "second_start", "window_length", F.round("scale", 6).alias("scale"))
 

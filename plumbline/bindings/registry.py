@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["numeric", "ledger", "claims", "bibliography", "pv", "curves", "compare"]
+MODULES = ["numeric", "ledger", "claims", "bibliography", "pv", "curves", "compare", "composed"]
 
 
 def _merged(attribute: str) -> dict:

@@ -29,10 +29,10 @@ def _issues(*pairs: tuple[Column, str, str]) -> Column:
     )
 
 
-def validate_ledger(findings: DataFrame) -> DataFrame:
-    """One row per broken rule: ``package_id, finding_id, seq, kind, message``."""
+def schema_issues() -> Column:
+    """Array of ``struct(kind, message)`` for the schema rules that a finding breaks."""
     sources_ok = F.forall("evidence", lambda e: ~_blank(e["source"]) & ~_blank(e["location"]))
-    schema = _issues(
+    return _issues(
         (_blank(F.col("finding_id")), "schema error", "finding_id is required"),
         (F.col("scope") == MOTIVE, "schema error", "unsupported motive is not a finding scope"),
         (F.col("scope").isNotNull() & ~F.col("scope").isin(SCOPES), "schema error", "scope is unknown"),
@@ -52,7 +52,11 @@ def validate_ledger(findings: DataFrame) -> DataFrame:
             "review flag must match the manual requests",
         ),
     )
-    rows = findings.withColumn("_schema", schema)
+
+
+def validate_ledger(findings: DataFrame) -> DataFrame:
+    """One row per broken rule: ``package_id, finding_id, seq, kind, message``."""
+    rows = findings.withColumn("_schema", schema_issues())
     broken = rows.select("package_id", "finding_id", "seq", F.explode("_schema").alias("i")).select(
         "package_id", "finding_id", "seq", "i.kind", "i.message"
     )
@@ -110,22 +114,12 @@ def resolve_source(findings: DataFrame) -> DataFrame:
 DEDUPE_KEY = ["package_id", "rule_id", "source_file", "safe_report_language"]
 
 
-def unify_findings(*ledgers: DataFrame, dedupe_key: list[str] | None = None) -> DataFrame:
-    """One ledger per package out of many.
-
-    High is kept only for retraction-type rules; records with the same rule, source
-    and text collapse to the first in ledger order; the unnamed get content ids.
-    Keeping the first is an aggregate, so copies shrink before the shuffle.
-    """
-    keys = dedupe_key or DEDUPE_KEY
-    staged = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [df.withColumn("_ledger", F.lit(i)) for i, df in enumerate(ledgers)],
-    )
+def prepare_unified(findings: DataFrame) -> DataFrame:
+    """Source, rule and risk level of each record as the unified ledger has them."""
     rule = F.coalesce("rule_id", F.lit("unknown_rule"))
     level = F.coalesce(F.lower("risk_level"), F.lit("low"))
     status_rule = F.lower(rule).contains("retract") | F.lower(rule).contains("withdraw")
-    staged = resolve_source(staged).withColumns(
+    return resolve_source(findings).withColumns(
         {
             "package_id": F.coalesce("package_id", F.lit("")),
             "rule_id": rule,
@@ -133,6 +127,22 @@ def unify_findings(*ledgers: DataFrame, dedupe_key: list[str] | None = None) ->
             "safe_report_language": F.coalesce("safe_report_language", F.lit("")),
         }
     )
+
+
+def unify_findings(*ledgers: DataFrame, dedupe_key: list[str] | None = None) -> DataFrame:
+    """One ledger per package out of many.
+
+    High is kept only for retraction-type rules; records with the same rule, source
+    and text collapse to the first in ledger order; the unnamed get content ids.
+    Keeping the first is an aggregate, so copies shrink before the shuffle.
+    """
+    keys = dedupe_key or DEDUPE_KEY
+    staged = prepare_unified(
+        reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True),
+            [df.withColumn("_ledger", F.lit(i)) for i, df in enumerate(ledgers)],
+        )
+    )
     rest = [n for n in FINDINGS.names if n not in keys]
     kept = staged.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), F.struct("_ledger", F.coalesce("seq", F.lit(0)), F.coalesce("finding_id", F.lit("")))).alias("r")
