@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.bindings.common import LINE_CELLS, ORDER_CELLS, line_cells, map_text, order_cells, table
 from plumbline.operators import numeric as N
 from plumbline.operators import profile as P
+from plumbline.session import materialize
 from plumbline.sources.frames import cells_from_dataframe
 
 
@@ -69,7 +70,7 @@ def overlap_query(spark, sf):
 
 
 def lattice_query(spark, sf):
-    scaled = P.scaled_counts(P.value_counts(P.numeric_values(order_cells(spark, sf))))
+    scaled = materialize(P.scaled_counts(P.value_counts(P.numeric_values(order_cells(spark, sf)))), "scaled")
     return P.lattice_fit(scaled).select(
         "column_name",
         F.round("lattice_step", 6).alias("lattice_step"),

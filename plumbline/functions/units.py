@@ -178,17 +178,28 @@ def average_lifetime(components: Column, formula: Column) -> Column:
             c["amplitude"].cast("double").alias("a"), normalize_decay_time(c["lifetime"], c["unit"]).alias("t")
         ),
     )
-    good = F.forall(items, lambda c: (c["a"] > 0) & c["t"].isNotNull()) & (F.size(items) >= 2)
-
-    def total(term):
-        return F.aggregate(items, F.lit(0.0), lambda acc, c: acc + term(c))
-
-    amplitude = F.try_divide(total(lambda c: c["a"] * c["t"]), total(lambda c: c["a"]))
-    intensity = F.try_divide(total(lambda c: c["a"] * c["t"] * c["t"]), total(lambda c: c["a"] * c["t"]))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("a"), zero.alias("at"), zero.alias("att"), F.lit(0).alias("n"), F.lit(True).alias("ok"))
     kind = average_formula(formula)
-    return F.when(
-        good, F.when(kind == "amplitude_weighted", amplitude).when(kind == "intensity_weighted", intensity)
-    )
+
+    def add(acc, c):
+        return F.struct(
+            (acc["a"] + c["a"]).alias("a"),
+            (acc["at"] + c["a"] * c["t"]).alias("at"),
+            (acc["att"] + c["a"] * c["t"] * c["t"]).alias("att"),
+            (acc["n"] + 1).alias("n"),
+            (acc["ok"] & F.coalesce((c["a"] > 0) & (c["t"] > 0), F.lit(False))).alias("ok"),
+        )
+
+    def finish(acc):
+        return F.when(
+            acc["ok"] & (acc["n"] >= 2),
+            F.when(kind == "amplitude_weighted", F.try_divide(acc["at"], acc["a"])).when(
+                kind == "intensity_weighted", F.try_divide(acc["att"], acc["at"])
+            ),
+        )
+
+    return F.aggregate(items, start, add, finish)
 
 
 def loose_number(c: Column) -> Column:

@@ -148,6 +148,7 @@ def scaled_counts(counts: DataFrame) -> DataFrame:
         F.max("places").alias("max_places"),
         F.sum("n").alias("total"),
         F.max("n").alias("modal_n"),
+        F.count(F.lit(1)).alias("uniq"),
         F.min("v").alias("v0"),
         F.max("v").alias("v1"),
     )
@@ -175,7 +176,7 @@ def step_candidates(scaled: DataFrame) -> DataFrame:
     return (
         _neighbours(scaled)
         .withColumn("step", F.col("k") - F.col("_prev.k"))
-        .groupBy(*KEYS, "scale", "max_places", "wide", "total", "modal_n", "v0", "v1", "step")
+        .groupBy(*KEYS, "scale", "max_places", "wide", "total", "modal_n", "uniq", "v0", "v1", "step")
         .agg(F.count(F.lit(1)).alias("step_count"), F.min("k").alias("first_k"))
         .withColumn("step", F.col("step").cast("decimal(38,0)"))
     )
@@ -281,22 +282,15 @@ def lattice_fit(scaled: DataFrame, min_overlap: float | None = None) -> DataFram
         steps = _reachable_steps(scaled, steps, min_overlap)
     # two hashes stand for the column key in the large join
     marks = [F.xxhash64(*KEYS, F.lit(seed)).alias(f"c{seed}") for seed in (1, 2)]
-    offsets = scaled.select(
-        *marks,
-        "n",
-        "wide",
-        (F.col("k") - _units_of_minimum()).cast("decimal(38,0)").alias("offset"),
-        F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("_salt"),
-    )
+    offset = (F.col("k") - _units_of_minimum()).cast("decimal(38,0)")
+    offsets = scaled.select(*marks, "n", "wide", "uniq", offset.alias("offset"))
     # tolerance: the largest of a quarter of the precision, a millionth of the step, 1e-12
     quarter = F.floor(F.pow(F.lit(10.0), F.col("scale") - F.col("max_places")) / 4.0)
     tiny = F.floor(F.pow(F.lit(10.0), F.col("scale") - 12))
-    slack = F.greatest(quarter, tiny, F.floor(F.col("step") / F.lit(1000000)).cast("long"))
-    salted = steps.select(*marks, "wide", "step", slack.cast("long").alias("slack")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    narrow = _fit(offsets.where(~F.col("wide")), salted.where(~F.col("wide")), "bigint")
-    broad = _fit(offsets.where("wide"), salted.where("wide"), "decimal(38,0)")
+    slack = F.greatest(quarter, tiny, F.floor(F.col("step") / F.lit(1000000)).cast("long")).cast("long")
+    tried = steps.select(*marks, "wide", "uniq", "step", slack.alias("slack"))
+    narrow = _fit_blocks(offsets.where(~F.col("wide")), tried.where(~F.col("wide")))
+    broad = _fit_wide(offsets.where("wide"), tried.where("wide"))
     columns = scaled.select(*KEYS, "scale", "max_places", "total").distinct().select("*", *marks)
     scored = (
         narrow.unionByName(broad)
@@ -321,21 +315,71 @@ def _units_of_minimum() -> Column:
     return digits.substr(F.lit(1), F.length(digits) - (F.lit(18) - F.col("scale"))).cast("decimal(38,0)")
 
 
-def _fit(values: DataFrame, steps: DataFrame, number: str) -> DataFrame:
-    """Aligned weight and summed distance for every (column, gap)."""
+BLOCK = 512
+FIT = "c1 long, c2 long, step long, aligned long, distance long"
+
+
+def _fit_arrays(batches):
+    """Aligned weight and summed distance of a block of values for every gap of a block."""
+    for batch in batches:
+        out = []
+        for c1, c2, offsets, ns, steps, slacks in batch.itertuples(index=False):
+            offsets, ns, steps, slacks = (np.asarray(a, dtype=np.int64) for a in (offsets, ns, steps, slacks))
+            rest = offsets[None, :] % steps[:, None]
+            distance = np.minimum(rest, steps[:, None] - rest)
+            aligned = np.where(distance <= slacks[:, None], ns[None, :], 0).sum(axis=1)
+            out.append(pd.DataFrame({"c1": c1, "c2": c2, "step": steps, "aligned": aligned, "distance": distance @ ns}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _fit_blocks(values: DataFrame, steps: DataFrame) -> DataFrame:
+    """Every value against every gap of its column, in blocks of bounded size.
+
+    Values and gaps are cut by hash into blocks of about ``BLOCK``; each pair of blocks
+    is one row and one array operation. Pairs are spread evenly over the tasks, so one
+    very large column uses all of them.
+    """
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["c1", "c2", "_salt"]
-    # a fixed number of tasks: the join multiplies rows, so byte sizes mislead coalescing
-    left = values.select(*keys, "n", F.col("offset").cast(number).alias("offset")).repartition(tasks, *keys)
-    right = steps.select(*keys, F.col("step").cast(number).alias("step"), "slack")
+    blocks = F.ceil(F.col("uniq") / F.lit(BLOCK))
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), blocks)
+
+    copies = F.least(F.lit(SALTS), blocks).cast("int")
+    left = (
+        values.groupBy("c1", "c2", "uniq", block("offset").alias("b"))
+        .agg(F.collect_list(F.struct(F.col("offset").cast("long").alias("o"), "n")).alias("v"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    )
+    right = (
+        steps.groupBy("c1", "c2", "uniq", block("step").alias("b"))
+        .agg(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "slack")).alias("s"))
+        .select("c1", "c2", F.pmod(F.col("b"), copies).cast("int").alias("_salt"), "s")
+    )
+    pairs = left.join(right, ["c1", "c2", "_salt"]).select("c1", "c2", "v.o", "v.n", "s.step", "s.slack")
+    return (
+        pairs.repartition(tasks)
+        .mapInPandas(_fit_arrays, FIT)
+        .groupBy("c1", "c2", "step")
+        .agg(F.sum("aligned").alias("aligned"), F.sum("distance").cast("double").alias("distance"))
+        .withColumn("step", F.col("step").cast("decimal(38,0)"))
+    )
+
+
+def _fit_wide(values: DataFrame, steps: DataFrame) -> DataFrame:
+    """The same for columns whose units need more digits than a machine word holds."""
+    salt = F.pmod(F.xxhash64("offset"), F.lit(SALTS)).cast("int")
+    left = values.withColumn("_salt", salt)
+    right = steps.drop("wide", "uniq").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rest = F.pmod("offset", "step")
     distance = F.least(rest, F.col("step") - rest)
     return (
-        left.join(right, keys)
+        left.join(right, ["c1", "c2", "_salt"])
         .groupBy("c1", "c2", "step")
         .agg(
             F.sum(F.when(distance <= F.col("slack"), F.col("n")).otherwise(F.lit(0).cast("long"))).alias("aligned"),
-            F.sum(distance * F.col("n")).alias("distance"),
+            F.sum((distance * F.col("n")).cast("double")).alias("distance"),
         )
-        .select("c1", "c2", F.col("step").cast("decimal(38,0)").alias("step"), "aligned", F.col("distance").cast("double").alias("distance"))
+        .select("c1", "c2", F.col("step").cast("decimal(38,0)").alias("step"), "aligned", "distance")
     )
