@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.cells import NUMBER, to_exact_decimal
@@ -104,55 +104,52 @@ def unit_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def normalize_claim(claim_type: Column, value: Column, unit: Column) -> Column:
-    """``struct(value, number, unit, error)``: value in the canonical unit of its claim type.
+def with_normalized_claim(df: DataFrame) -> DataFrame:
+    """Add ``claim_value``, ``claim_number``, ``claim_unit`` and ``claim_error``.
 
-    Every factor is a power of ten, so the decimal text is shifted before it becomes a
-    double; equal quantities then compare equal whatever unit they were given in.
+    The value is in the canonical unit of the claim type. Every factor is a power of ten,
+    so the decimal text is shifted before it becomes a double; equal quantities then
+    compare equal whatever unit they were given in. The columns are added in stages, so
+    that none of the steps is worked out twice.
     """
-    key = unit_key(unit)
-    exact = to_exact_decimal(value)
-
-    def scaled(table):
-        shift = lookup({k: _power(v[1]) for k, v in table.items()}, key)
-        return shifted(value, shift), lookup({k: v[0] for k, v in table.items()}, key)
-
-    time_number, time_unit = scaled(TIME_UNITS)
-    conc_number, conc_unit = scaled(CONCENTRATION_UNITS)
-    eff_number, eff_unit = scaled(EFFICIENCY_UNITS)
+    kind, value, key = F.col("claim_type"), F.col("value"), F.col("_key")
+    tables = [(TIME_CLAIMS, TIME_UNITS), (["concentration"], CONCENTRATION_UNITS), (["pce"], EFFICIENCY_UNITS)]
+    shift = unit = None
+    for types, table in tables:
+        s = lookup({k: _power(v[1]) for k, v in table.items()}, key)
+        u = lookup({k: v[0] for k, v in table.items()}, key)
+        shift = F.when(kind.isin(types), s) if shift is None else shift.when(kind.isin(types), s)
+        unit = F.when(kind.isin(types), u) if unit is None else unit.when(kind.isin(types), u)
     offset = lookup({k: v[1] for k, v in TEMPERATURE_UNITS.items()}, key).cast("decimal(5,2)")
-    temp_number = (exact - offset).cast("double")
-    temp_unit = lookup({k: v[0] for k, v in TEMPERATURE_UNITS.items()}, key)
-    plain_unit = F.when(key.isin(UNITLESS), "dimensionless")
-    other_unit = F.when(key.isin(UNITLESS), F.lit("dimensionless")).when(key.isin(OTHER_UNITS), key)
-
-    number = (
-        F.when(claim_type.isin(TIME_CLAIMS), time_number)
-        .when(claim_type == "anneal_temperature", temp_number)
-        .when(claim_type == "concentration", conc_number)
-        .when(claim_type == "pce", eff_number)
+    unit = (
+        unit.when(kind == "anneal_temperature", F.when(key.isin(list(TEMPERATURE_UNITS)), "degC"))
+        .when(kind.isin("layer_order", "composition"), F.when(key.isin(UNITLESS), "dimensionless"))
+        .when(kind == "other", F.when(key.isin(UNITLESS), F.lit("dimensionless")).when(key.isin(OTHER_UNITS), key))
     )
-    canonical = (
-        F.when(claim_type.isin(TIME_CLAIMS), time_unit)
-        .when(claim_type == "anneal_temperature", temp_unit)
-        .when(claim_type == "concentration", conc_unit)
-        .when(claim_type == "pce", eff_unit)
-        .when(claim_type.isin("layer_order", "composition"), plain_unit)
-        .when(claim_type == "other", other_unit)
+    numeric = kind.isin(NUMERIC_CLAIMS)
+    staged = df.withColumn("_key", unit_key(F.col("unit"))).withColumns(
+        {
+            "claim_unit": unit,
+            "_number": F.when(kind == "anneal_temperature", (to_exact_decimal(value) - offset).cast("double")).otherwise(
+                shifted(value, shift)
+            ),
+        }
     )
-    known = claim_type.isin(NUMERIC_CLAIMS + ["layer_order", "composition", "other"])
+    known = kind.isin(NUMERIC_CLAIMS + ["layer_order", "composition", "other"])
     error = (
         F.when(~known, F.lit("unsupported claim type"))
-        .when(canonical.isNull(), F.lit("unsupported unit"))
-        .when(claim_type.isin(NUMERIC_CLAIMS) & exact.isNull(), F.lit("value is not numeric"))
-    )
-    text = F.when(claim_type.isin(NUMERIC_CLAIMS), number.cast("string")).otherwise(value)
-    return F.struct(
-        F.when(error.isNull(), text).alias("value"),
-        F.when(error.isNull(), number).alias("number"),
-        F.when(error.isNull(), canonical).alias("unit"),
-        error.alias("error"),
+        .when(F.col("claim_unit").isNull(), F.lit("unsupported unit"))
+        .when(numeric & F.col("_number").isNull(), F.lit("value is not numeric"))
     )
+    staged = staged.withColumn("claim_error", error)
+    ok = F.col("claim_error").isNull()
+    return staged.withColumns(
+        {
+            "claim_number": F.when(ok & numeric, F.col("_number")),
+            "claim_unit": F.when(ok, F.col("claim_unit")),
+            "claim_value": F.when(ok, F.when(numeric, F.col("_number").cast("string")).otherwise(value)),
+        }
+    ).drop("_key", "_number")
 
 
 def normalize_decay_time(value: Column, unit: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import cells as C
 from plumbline.operators import ordered
+from plumbline.session import materialize
 
 KEYS = ["package_id", "table_id", "source_file", "col_index", "column_name"]
 TABLE = ["package_id", "table_id", "source_file"]
@@ -280,6 +281,8 @@ def lattice_fit(scaled: DataFrame, min_overlap: float | None = None) -> DataFram
     )
     if min_overlap is not None:
         steps = _reachable_steps(scaled, steps, min_overlap)
+    # read by three branches below; the gaps are few, the windows behind them are not cheap
+    steps = materialize(steps, "gaps")
     # two hashes stand for the column key in the large join
     marks = [F.xxhash64(*KEYS, F.lit(seed)).alias(f"c{seed}") for seed in (1, 2)]
     offset = (F.col("k") - _units_of_minimum()).cast("decimal(38,0)")
@@ -322,15 +325,16 @@ FIT = "c1 long, c2 long, step long, aligned long, distance long"
 def _fit_arrays(batches):
     """Aligned weight and summed distance of a block of values for every gap of a block."""
     for batch in batches:
-        out = []
+        parts = []
         for c1, c2, offsets, ns, steps, slacks in batch.itertuples(index=False):
             offsets, ns, steps, slacks = (np.asarray(a, dtype=np.int64) for a in (offsets, ns, steps, slacks))
             rest = offsets[None, :] % steps[:, None]
             distance = np.minimum(rest, steps[:, None] - rest)
             aligned = np.where(distance <= slacks[:, None], ns[None, :], 0).sum(axis=1)
-            out.append(pd.DataFrame({"c1": c1, "c2": c2, "step": steps, "aligned": aligned, "distance": distance @ ns}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+            size = len(steps)
+            parts.append((np.full(size, c1), np.full(size, c2), steps, aligned, distance @ ns))
+        if parts:
+            yield pd.DataFrame(dict(zip(("c1", "c2", "step", "aligned", "distance"), map(np.concatenate, zip(*parts)))))
 
 
 def _fit_blocks(values: DataFrame, steps: DataFrame) -> DataFrame:
@@ -341,19 +345,18 @@ def _fit_blocks(values: DataFrame, steps: DataFrame) -> DataFrame:
     very large column uses all of them.
     """
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("uniq") / F.lit(BLOCK))
-
-    def block(c):
-        return F.pmod(F.xxhash64(c), blocks)
-
-    copies = F.least(F.lit(SALTS), blocks).cast("int")
+    sizes = steps.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("gaps"))
+    step_blocks = F.ceil(F.col("gaps") / F.lit(BLOCK))
+    copies = F.least(F.lit(SALTS), step_blocks).cast("int")
     left = (
-        values.groupBy("c1", "c2", "uniq", block("offset").alias("b"))
+        values.groupBy("c1", "c2", F.pmod(F.xxhash64("offset"), F.ceil(F.col("uniq") / F.lit(BLOCK))).alias("b"))
         .agg(F.collect_list(F.struct(F.col("offset").cast("long").alias("o"), "n")).alias("v"))
+        .join(sizes, ["c1", "c2"])
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     )
     right = (
-        steps.groupBy("c1", "c2", "uniq", block("step").alias("b"))
+        steps.join(sizes, ["c1", "c2"])
+        .groupBy("c1", "c2", "gaps", F.pmod(F.xxhash64("step"), step_blocks).alias("b"))
         .agg(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "slack")).alias("s"))
         .select("c1", "c2", F.pmod(F.col("b"), copies).cast("int").alias("_salt"), "s")
     )

@@ -143,24 +143,25 @@ REQUIRED_CLAIM_FIELDS = [
 
 def claim_issues(raw: DataFrame) -> DataFrame:
     """Add ``issues``: missing fields, unknown type, bad unit or number, repeated id."""
-    from plumbline.functions.units import normalize_claim
+    from plumbline.functions.units import with_normalized_claim
 
     blank = [
         F.when(F.col(c).isNull() | (F.trim(c) == ""), F.lit(f"{c} is required")) for c in REQUIRED_CLAIM_FIELDS
     ]
     known = F.col("claim_type").isin(CLAIM_TYPES)
-    converted = normalize_claim(F.col("claim_type"), F.col("value"), F.col("unit"))
     repeats = (
         raw.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_uses")).where(F.col("_uses") > 1).select("claim_id", "_uses")
     )
-    rows = raw.join(repeats, "claim_id", "left")
+    rows = with_normalized_claim(raw).join(repeats, "claim_id", "left")
     checks = blank + [
         F.when(~known, F.lit("unknown claim type")),
-        F.when(known & converted["error"].isNotNull(), converted["error"]),
+        F.when(known & F.col("claim_error").isNotNull(), F.col("claim_error")),
         F.when(F.col("human_confirmed").isNull(), F.lit("human_confirmed is required")),
         F.when(F.col("_uses").isNotNull(), F.lit("duplicate claim_id")),
     ]
-    return rows.withColumn("issues", F.array_compact(F.array(*checks))).drop("_uses")
+    return rows.withColumn("issues", F.array_compact(F.array(*checks))).drop(
+        "_uses", "claim_value", "claim_number", "claim_unit", "claim_error"
+    )
 
 
 def read_claims(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
