@@ -143,7 +143,8 @@ def read_references_query(spark, sf):
     both = plain.unionByName(parsed)
     per_list = both.groupBy("list_id").agg(F.max("index").alias("top"), F.count(F.lit(1)).alias("n"), F.countDistinct("index").alias("d"))
     dense = per_list.agg(F.bool_and((F.col("top") == F.col("n")) & (F.col("d") == F.col("n"))).alias("numbered"))
-    return both.groupBy("text", "doi").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(dense))
+    check = dense.select(F.lit("lines numbered without gaps").alias("text"), F.col("numbered").cast("string").alias("doi"), F.lit(1).cast("long").alias("n"))
+    return both.groupBy("text", "doi").agg(F.count(F.lit(1)).alias("n")).unionByName(check)
 
 
 _PART_DOI = "case p_partkey % 6 when 0 then 'no doi' when 1 then concat('doi:10.1000/P', p_partkey % 300, '.') else concat('10.1000/p', p_partkey % 300) end"
@@ -278,7 +279,11 @@ def markdown_query(spark, sf):
     counted = cells.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == "").alias("blank"), F.countDistinct("value").alias("distinct_values"), F.max("row_index").alias("last_row")
     )
-    return counted.crossJoin(F.broadcast(warnings.agg(F.count(F.lit(1)).alias("warnings"))))
+    noted = warnings.groupBy("message").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"))
+    zero = F.lit(0).cast("long")
+    return counted.unionByName(
+        noted.select(F.lit("(warnings)").alias("column_name"), "n", zero.alias("blank"), zero.alias("distinct_values"), zero.alias("last_row"))
+    )
 
 
 QUERIES = {
@@ -335,7 +340,7 @@ ORACLES = {
         from good join ws on ws.doi=good.d where status in ('retraction','withdrawal','expression_of_concern','correction')
       union all select list_id, idx, 'duplicate_reference', 'low', d from (select *, row_number() over (partition by list_id, d order by idx, p) rn from good) where rn>1
       union all select list_id, idx, 'duplicate_reference', 'low', 'text' from (select *, row_number() over (partition by list_id, text order by idx) rn from bare) where rn>1""",
-    "read_references": f"with {REFS_SQL} select text, doi, count(*) n, true as numbered from r group by all",
+    "read_references": f"with {REFS_SQL} select text, doi, count(*) n from r group by all union all select 'lines numbered without gaps', 'true', 1",
     "literature_dedupe_enrich": f"with {ENRICHED_SQL} select * from en",
     "literature_batch_stats": f"""with {ENRICHED_SQL} select source_file, count(*) total_items, count(*) filter (normalized_doi is not null and not is_duplicate) valid_dois,
       count(*) filter (is_duplicate) duplicate_dois, count(*) filter (update_status='retraction') retractions, count(*) filter (update_status='correction') corrections,
@@ -357,6 +362,6 @@ ORACLES = {
     "read_markdown_cells": """with c as (select s_nationkey, row_number() over (partition by s_nationkey order by s_suppkey) rn, s_suppkey::varchar a, s_name b,
        case when s_suppkey%4=0 then '' else s_acctbal::varchar end c from supplier),
       l as (select 'key' column_name, a v, rn from c union all select 'name', b, rn from c union all select 'balance', c, rn from c)
-      select column_name, count(*) n, count(*) filter (v='') blank, count(distinct v) distinct_values, max(rn) last_row,
-      (select count(*) from supplier where s_suppkey%4=0) warnings from l group by 1""",
+      select column_name, count(*) n, count(*) filter (v='') blank, count(distinct v) distinct_values, max(rn) last_row from l group by 1
+      union all select '(warnings)', count(*), 0, 0, 0 from supplier where s_suppkey%4=0""",
 }

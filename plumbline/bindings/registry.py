@@ -27,4 +27,8 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return queries()["terminal_digit"](spark, sf_dir)
+    """Terminal-digit findings of all line-item tables, scored once per table and package."""
+    from plumbline.bindings.common import line_cells
+    from plumbline.operators import ledger, numeric
+
+    return ledger.mrpi(numeric.terminal_digit(line_cells(spark, sf_dir)))

@@ -152,14 +152,14 @@ def test_segment_brute_force(spark):
     assert [r.status for r in over] == ["point_budget_exceeded"]
 
 
-@pytest.mark.parametrize("threshold", [3, 6, 9])
-def test_hash_pairs_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,hot", [(3, 20000), (6, 20000), (9, 20000), (6, 0), (6, 3), (3, 2)])
+def test_hash_pairs_brute_force(spark, threshold, hot):
     rng = random.Random(threshold)
     base = [rng.getrandbits(64) for _ in range(25)]
     values = base + [b ^ sum(1 << p for p in rng.sample(range(64), rng.randint(0, 10))) for b in base for _ in range(3)] + [0, 0]
     signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     df = spark.createDataFrame([(f"i{n}", f"s{n}", v) for n, v in enumerate(signed)], "image_id string, sha256 string, hash long")
-    got = [(min(r["hash"], r.other), max(r["hash"], r.other), r.distance) for r in I.hash_similarity_pairs(df, threshold).collect()]
+    got = [(min(r["hash"], r.other), max(r["hash"], r.other), r.distance) for r in I.hash_similarity_pairs(df, threshold, hot).collect()]
     mask = (1 << 64) - 1
     distinct = sorted(set(signed))
     expected = [(a, b, bin((a ^ b) & mask).count("1")) for n, a in enumerate(distinct) for b in distinct[n + 1 :]]
