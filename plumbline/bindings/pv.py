@@ -166,6 +166,21 @@ _PCE = """ q as (select *, case when light_intensity_mw_cm2 is null then null el
    case when bandgap_ev-voc_v<0.05 then 'medium' else 'low' end risk_level from m where bandgap_ev-voc_v<0.05 or bandgap_ev-voc_v>0.65)
 """
 _TABLES = "(select distinct o_orderpriority p from orders)"
+# rules whose evidence the bound tables lack; "sam" of the sample group and the XRD column count as evidence
+_MISSING = ",".join(
+    f"('{rule}','{category}','{ceiling}','{', '.join(needed)}')"
+    for rule, category, needed, ceiling in P.EVIDENCE_RULES
+    if rule
+    not in (
+        "pv_jv_scan_direction_completeness",
+        "pv_jv_light_intensity_completeness",
+        "pv_eqe_integrated_jsc_consistency",
+        "pv_tandem_bandgap_completeness",
+        "pv_tandem_current_matching",
+        "pv_materials_sam_interface",
+        "pv_materials_metadata",
+    )
+)
 ORACLES = {
     "pv_metric_rows": f"""with {_SQL} select table_id, row_index, device_id, round(voc_v,9) voc_v, round(jsc_ma_cm2,9) jsc_ma_cm2, round(ff,9) ff, round(pce_percent,9) pce_percent,
       round(eqe_jsc_ma_cm2,9) eqe_jsc_ma_cm2, round(bandgap_ev,9) bandgap_ev, round(light_intensity_mw_cm2,9) light_intensity_mw_cm2, scan_direction, condition_label from m""",
@@ -190,6 +205,8 @@ ORACLES = {
     "table_completeness": f"""select 'pv-' || p as table_id, 'device area, scan rate, test environment, light source calibration' as missing from {_TABLES}""",
     "stability_completeness": f"""select 'st-' || p as table_id, case when p like '1%' then 'temperature, ' else '' end || 'humidity or atmosphere, illumination, electrical bias, encapsulation, retention' as missing from {_TABLES}""",
     "characterization_completeness": f"""select 'pv-' || p as table_id, 'XRD' as "method", 'radiation source, scan rate or step size' as missing from {_TABLES}""",
+    "evidence_ruleset": f"""select 'pv-' || p as table_id, rule_id, category, risk_ceiling, missing from {_TABLES},
+      (values {_MISSING}) v(rule_id, category, risk_ceiling, missing)""",
     "route_domain": """with t as (select distinct 'd-' || p_type table_id from part),
       s(domain_id, score) as (values ('ai_ml',0.5::double),('clinical',0.1667),('psychology_social_science',0.1667),('materials_characterization',0.25),('biomedical',0.0),('chemistry',0.0)),
       r as (select *, row_number() over (order by score desc, domain_id) rk from s) select table_id, rk::int as "rank", domain_id, score from t, r""",
