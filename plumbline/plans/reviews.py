@@ -1,4 +1,4 @@
-"""Composed reviews over many packages: each output is one lazy plan."""
+"""Composed reviews over many packages."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import bibliography, claims, curve_compare, curves, images, ledger, numeric, pv, versions
+from plumbline.session import materialize
 
 
 def table_review(cells: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
@@ -78,7 +79,9 @@ def review_packages(inputs: Mapping[str, DataFrame], version_events: DataFrame |
         parts.append(("ledgers", inputs["ledgers"]))
     if not parts:
         raise ValueError("no input given")
-    unified = ledger.unify_findings(*[df for _, df in parts])
+    # findings are few next to their inputs; written once, no check runs again for another output
+    parts = [(name, materialize(df, name)) for name, df in parts]
+    unified = materialize(ledger.unify_findings(*[df for _, df in parts]), "unified")
     effective = versions.reconcile_versions(unified, version_events) if version_events is not None else unified
     counts = reduce(
         DataFrame.unionByName,
