@@ -117,6 +117,20 @@ def with_value_chunk(df: DataFrame, keys: list[str], value: str, name: str = "_c
     return _match(df, span, keys).withColumn(name, F.floor(place * slices).cast("long")).drop("_lo", "_hi", "_n")
 
 
+def row_chunks(df: DataFrame, keys: list[str], order: list[str], name: str = "_chunk") -> DataFrame:
+    """Add a chunk number that grows with ``order`` within a group; chunks hold about equally many rows.
+
+    The bounds are sampled from the rows themselves (range partitioning), so neither
+    sparse nor outlying values matter, and a group of any size spans several chunks.
+    The rows are written to the shared folder once, which fixes their chunk.
+    """
+    from plumbline.session import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id())
+    return materialize(ranged, "chunked")
+
+
 def with_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name`` = place of the row in its group, counted from 1.
 
@@ -124,11 +138,7 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
     partitions. The result is written to the shared folder once, which fixes the
     partition of every row; places are then local places plus the rows before.
     """
-    from plumbline.session import materialize
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    fixed = materialize(ranged, "ranked")
+    fixed = row_chunks(df, keys, order, "_part")
     within = Window.partitionBy(*keys, "_part").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Scratch folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def build_session(app: str = "plumbline", master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster supplies its own."""
@@ -37,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
