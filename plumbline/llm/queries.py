@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import merkle, mixing, secrets
+from plumbline.llm import language, merkle, mixing, quality, secrets, toxicity
+from plumbline.llm.textops import held_out
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str, parts: int, part: int) -> DataFrame:
+    """The labelled rows that a model may learn from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.where(~held_out(F.col("doc_id"), parts, part)).select("doc_id", F.col(column).alias("label"))
+
+
+def op2_naive_bayes_quality(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, _labels(spark, sf_dir, "quality", 4, 2))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
+
+
 def op3_merkle_fingerprints(spark, sf_dir):
     return merkle.compare_edits(_documents(spark, sf_dir))
 
@@ -27,6 +41,21 @@ def op4_secret_ledger(spark, sf_dir):
     )
 
 
+def op5_language_id(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = language.fit(docs.where(~out), language.PER_LANGUAGE)
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op6_kneser_ney_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    models = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 5, 0))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, models).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted)
+
+
 def op8_curriculum_mix(spark, sf_dir):
     plan = mixing.plan_mix(_documents(spark, sf_dir))
     first = F.get("positions", F.lit(0))
@@ -34,8 +63,11 @@ def op8_curriculum_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_naive_bayes_quality": op2_naive_bayes_quality,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_secret_ledger": op4_secret_ledger,
+    "op5_language_id": op5_language_id,
+    "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
     "op8_curriculum_mix": op8_curriculum_mix,
 }
 ORACLES: dict[str, str] = {}
