@@ -135,7 +135,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         logits = np.stack([r[1][1] @ model.table[r[1][0]] / r[1][1].sum() + bias for r in checked])
         truth = np.array([r[0] for r in checked])
         loss = lambda s: -np.log(np.maximum(softmax(s * logits)[np.arange(len(truth)), truth], 1e-12)).mean()
-        model.scale = float(min(np.geomspace(0.1, 10, 41), key=loss))
+        model.scale = float(min(np.geomspace(0.1, 2, 41), key=loss))
         p = softmax(model.scale * logits)
         best, right = p.max(1), p.argmax(1) == truth
         order = np.argsort(-best)

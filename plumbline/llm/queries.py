@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, merkle, mixing, quality, secrets, toxicity
+from plumbline.llm import extract, language, merkle, mixing, quality, secrets, toxicity
 from plumbline.llm.textops import held_out
 
 
@@ -62,6 +62,10 @@ def op8_curriculum_mix(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy("position", "doc_id")
 
 
+def op9_block_rules(spark, sf_dir):
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op2_naive_bayes_quality": op2_naive_bayes_quality,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
@@ -69,5 +73,6 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
     "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_block_rules": op9_block_rules,
 }
 ORACLES: dict[str, str] = {}
