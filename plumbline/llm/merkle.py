@@ -1,7 +1,7 @@
 """Merkle-tree fingerprints of documents, with SQL functions only.
 
 A text is a tree: sections (split at empty lines) hold paragraphs (lines), paragraphs hold
-pieces (a sentence, or 16 words of a longer one). A leaf is the digest of a piece, an inner
+pieces (a sentence, or 8 words of a longer one). A leaf is the digest of a piece, an inner
 node the digest of its children, so equal roots mean equal texts, and the pieces whose
 digests differ show where two texts differ. The pieces of a tree cover its text fully.
 """
@@ -13,26 +13,28 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.ordered import row_chunks, with_previous
 
-#: Up to 16 words, ending early after a word that ends a sentence; white space stays with them.
-PIECE = r"\s*(?:\S*[^\s.!?]\s+){0,15}\S+\s*|\s+"
-LEAF_DIGITS = 12
+#: Up to 8 words, ending early after a word that ends a sentence; white space stays with them.
+PIECE = r"\s*(?:\S*[^\s.!?]\s+){0,7}\S+\s*|\s+"
+#: Digits of a leaf that a fingerprint shows; the root is made from whole digests.
+LEAF_DIGITS = 8
 
 
 def tree(text: Column) -> Column:
     """The tree of a text: array of sections, arrays of paragraphs, arrays of leaf digests."""
     section = lambda s: F.transform(F.split(s, "\n", -1), paragraph)
-    paragraph = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), leaf)
-    leaf = lambda x: F.substring(F.md5(x), 1, LEAF_DIGITS)
+    paragraph = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), F.md5)
     return F.transform(F.split(text, "\n\n", -1), section)
 
 
 def fingerprint_of(nodes: Column) -> Column:
-    """``root|section digests``: the root decides equality, the sections narrow a difference."""
+    """``root|leaves``: the root decides equality; leaves part at ``,``, paragraphs at ``/``, sections at ``;``."""
     paragraph = lambda p: F.md5(F.concat(F.lit("p"), F.concat_ws(",", p)))
     section = lambda s: F.md5(F.concat(F.lit("s"), F.concat_ws(",", F.transform(s, paragraph))))
     sections = F.transform(nodes, section)
     root = F.sha2(F.concat(F.lit("d"), F.concat_ws(",", sections)), 256)
-    return F.concat(root, F.lit("|"), F.concat_ws(";", F.transform(nodes, lambda s: F.concat_ws("/", F.transform(s, lambda p: F.concat_ws(",", p))))))
+    shown = lambda p: F.concat_ws(",", F.transform(p, lambda x: F.substring(x, 1, LEAF_DIGITS)))
+    body = F.concat_ws(";", F.transform(nodes, lambda s: F.concat_ws("/", F.transform(s, shown))))
+    return F.concat(root, F.lit("|"), body)
 
 
 def leaves_of(fingerprint: Column) -> Column:
