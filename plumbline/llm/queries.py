@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import extract, language, merkle, mixing, quality, secrets, toxicity
+from plumbline.llm import extract, language, merkle, mixing, neardup, quality, secrets, toxicity
 from plumbline.llm.textops import held_out
 
 
@@ -66,6 +66,10 @@ def op9_block_rules(spark, sf_dir):
     return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_lsh_forest(spark, sf_dir):
+    return neardup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+
+
 QUERIES = {
     "op2_naive_bayes_quality": op2_naive_bayes_quality,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
@@ -74,5 +78,6 @@ QUERIES = {
     "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_block_rules": op9_block_rules,
+    "op10_lsh_forest": op10_lsh_forest,
 }
 ORACLES: dict[str, str] = {}
