@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import extract, language, merkle, mixing, neardup, quality, secrets, toxicity
+from plumbline.llm import decontaminate, extract, language, merkle, mixing, neardup, quality, secrets, toxicity
 from plumbline.llm.textops import held_out
 
 
@@ -56,6 +56,10 @@ def op6_kneser_ney_toxicity(spark, sf_dir):
     return toxicity.score(docs, models).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted)
 
 
+def op7_qgram_decontamination(spark, sf_dir):
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     plan = mixing.plan_mix(_documents(spark, sf_dir))
     first = F.get("positions", F.lit(0))
@@ -76,6 +80,7 @@ QUERIES = {
     "op4_secret_ledger": op4_secret_ledger,
     "op5_language_id": op5_language_id,
     "op6_kneser_ney_toxicity": op6_kneser_ney_toxicity,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_block_rules": op9_block_rules,
     "op10_lsh_forest": op10_lsh_forest,
