@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, extract, language, merkle, mixing, neardup, quality, secrets, toxicity
+from plumbline.llm import decontaminate, dedup, extract, language, merkle, mixing, neardup, quality, secrets, toxicity
 from plumbline.llm.textops import held_out
 
 
@@ -19,6 +19,10 @@ def _labels(spark: SparkSession, sf_dir: str, column: str, parts: int, part: int
     return labels.where(~held_out(F.col("doc_id"), parts, part)).select("doc_id", F.col(column).alias("label"))
 
 
+def op1_prefix_free_dedup(spark, sf_dir):
+    return dedup.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_naive_bayes_quality(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, _labels(spark, sf_dir, "quality", 4, 2))
@@ -75,6 +79,7 @@ def op10_lsh_forest(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_prefix_free_dedup": op1_prefix_free_dedup,
     "op2_naive_bayes_quality": op2_naive_bayes_quality,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_secret_ledger": op4_secret_ledger,
