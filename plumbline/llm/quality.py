@@ -150,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     usable = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     usable = usable.dropDuplicates(["doc_id"])
     texts = docs.select("doc_id", "text")
-    # the labelled texts are joined where the labels are; texts move only as far as the join needs
-    counted = texts.join(usable, "doc_id").select("label", "text").mapInArrow(_bucket_counts, "label int, bucket int, n long")
+    # labels grow with the corpus: the join is by key at every size, never by a copy of the labels in each task
+    counted = texts.join(usable.hint("merge"), "doc_id").select("label", "text").mapInArrow(_bucket_counts, "label int, bucket int, n long")
     table = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts, total = np.zeros((2, 1 << BITS)), np.zeros(2)
     for label in (0, 1):
