@@ -53,11 +53,19 @@ def intervals_query(spark, sf):
 
 
 def segment_query(spark, sf):
-    """Second curves repeat places 10 to 30 of the first one, scaled and shifted."""
+    """Second curves repeat places 10 to 30 of the first one, scaled and shifted; long ones 100 to 1300."""
     r = _runs(spark, sf)
+    orders = table(spark, sf, "orders")
+    long = orders.select(
+        F.concat(F.lit("long"), F.floor(F.col("o_orderkey") / 1500).cast("string")).alias("spec_id"),
+        (F.col("o_orderkey") % 1500).alias("s"), F.col("o_totalprice").alias("p"),
+    )
+    r = r.select("spec_id", "s", "p", F.col("s").between(10, 30).alias("copied")).unionByName(
+        long.withColumn("copied", F.col("s").between(100, 1300))
+    )
     specs = r.select("spec_id").distinct().withColumn("human_confirmed_independent", F.lit(True))
     first = r.select("spec_id", F.concat("spec_id", F.lit("-a")).alias("curve_id"), F.col("s").alias("seq"), F.col("s").cast("double").alias("x"), F.col("p").alias("y"))
-    copied = F.col("s").between(10, 30)
+    copied = F.col("copied")
     second = r.select(
         "spec_id", F.concat("spec_id", F.lit("-b")).alias("curve_id"), F.col("s").alias("seq"), (F.col("s") * 3.0 + 1).alias("x"),
         F.when(copied, F.col("p") * 0.5 + 7).otherwise(F.lit(900000.0) - F.col("p")).alias("y"),
@@ -248,7 +256,8 @@ ORACLES = {
       union all select 'c' || n, 'unexplained_contiguous_missing_interval', count(*), sum(point_count)::bigint from iv group by n""",
     "curve_missing_intervals": f"with {COVERAGE_SQL} select 'c' || n spec_id, x_start::double x_start, x_end::double x_end, seq_start, point_count from iv",
     "curve_segment_similarity": """select 'c' || (o_orderkey//50) spec_id, 'match' as status, 10::bigint first_start, 10::bigint second_start, 21::bigint window_length, 0.5::double as scale
-      from orders group by o_orderkey//50 having count(*)>=31""",
+      from orders group by o_orderkey//50 having count(*)>=31
+      union all select 'long' || (o_orderkey//1500), 'match', 100, 100, 1201, 0.5 from orders group by o_orderkey//1500 having count(*)>=1301""",
     "image_hashes": f"with {HASH_SQL} select vec_id::varchar image_id, {_DHASH} dhash, {_AHASH} ahash from q",
     "hash_similarity_pairs": f"""with {HASH_SQL}, h as (select vec_id, {_ABITS} a from q),
       f as (select xor(a, unnest([0::ubigint, 1::ubigint << (vec_id%60)::ubigint, 21::ubigint << (vec_id%50)::ubigint])) b from h),

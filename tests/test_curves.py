@@ -147,9 +147,30 @@ def test_segment_brute_force(spark):
     assert got[0].window_length == segments_by_hand(list(x), list(y1), list(x), list(y2)) and got[0].scale == pytest.approx(3.0)
     line = CC.curve_segment_similarity(specs, spark.createDataFrame(rows("a", x)), spark.createDataFrame(rows("b", 2 * x))).count()
     assert line == 0
-    long = pd.DataFrame({"spec_id": "s", "curve_id": "a", "seq": range(501), "x": np.arange(501.0), "y": np.arange(501.0)})
-    over = CC.curve_segment_similarity(specs, spark.createDataFrame(long), spark.createDataFrame(rows("b", y2))).collect()
-    assert [r.status for r in over] == ["point_budget_exceeded"]
+
+
+def test_segment_of_long_curves(spark, monkeypatch):
+    """A long segment is found whole, also when the comparison is split by diagonals."""
+    rng = np.random.default_rng(5)
+    x = np.arange(3000.0)
+    y1, y2 = rng.uniform(0, 100, 3000), rng.uniform(0, 100, 3000)
+    y2[1200:2900] = 2 * y1[100:1800] - 5
+    specs = spark.createDataFrame([("s", True)], "spec_id string, human_confirmed_independent boolean")
+    rows = lambda name, y: spark.createDataFrame(pd.DataFrame({"spec_id": "s", "curve_id": name, "seq": range(3000), "x": x, "y": y}))
+    for pairs in (CC.PAIRS_PER_TASK, 1 << 20):
+        monkeypatch.setattr(CC, "PAIRS_PER_TASK", pairs)
+        got = CC.curve_segment_similarity(specs, rows("a", y1), rows("b", y2)).collect()
+        assert [(r.first_start, r.second_start, r.window_length) for r in got] == [(100, 1200, 1700)]
+
+
+def test_segment_within_one_curve(spark):
+    rng = np.random.default_rng(6)
+    y = rng.uniform(0, 100, 60)
+    y[40:55] = y[5:20] * 0.5 + 1
+    specs = spark.createDataFrame([("s", True)], "spec_id string, human_confirmed_independent boolean")
+    one = spark.createDataFrame(pd.DataFrame({"spec_id": "s", "curve_id": "a", "seq": range(60), "x": np.arange(60.0), "y": y}))
+    got = CC.curve_segment_similarity(specs, one, one).collect()
+    assert [(r.first_start, r.second_start, r.window_length) for r in got] == [(5, 40, 15)]
 
 
 @pytest.mark.parametrize("threshold,hot", [(3, 20000), (6, 20000), (9, 20000), (6, 0), (6, 3), (3, 2)])
