@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             rows = [s.tobytes() for s in shingle_sets(texts, width)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.binary())], names=["id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return texts.mapInArrow(run, "id long, shingles binary")
 
 
@@ -160,9 +160,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
+    # sets and candidate ids grow with the corpus: joined by key at every size.
     # the side with the smaller id, often shared by many pairs, joins last
     near = F.greatest("a", "b"), F.least("a", "b")
-    ready = pairs.select(near[0].alias("a"), near[1].alias("b")).distinct().join(first, "a").join(second, "b")
+    ready = pairs.select(near[0].alias("a"), near[1].alias("b")).distinct().join(first.hint("merge"), "a").join(second.hint("merge"), "b")
     return ready.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     usable = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     name = ["set_a", "set_b", "n_shingles"]
     classes = materialize(usable.groupBy(*name).agg(F.min("doc_id").cast("long").alias("rep")), "classes")
-    labelled = usable.select(F.col("doc_id").cast("long").alias("rep"), *name, "labels").join(classes, ["rep", *name], "left_semi")
+    labelled = usable.select(F.col("doc_id").cast("long").alias("rep"), *name, "labels").join(classes.hint("merge"), ["rep", *name], "left_semi")
     forest = materialize(
         labelled.select(F.col("rep").alias("id"), "n_shingles", F.posexplode("labels").alias("tree", "label")), "forest"
     )
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = forest.select(*region, "id", "n_shingles")
     leaders = rows.groupBy("tree", "region").agg(F.min(F.struct("id", "n_shingles")).alias("lead"), F.max("id").alias("_last"))
     leaders = leaders.where(F.col("_last") > F.col("lead.id")).drop("_last")
-    crowded = materialize(rows.join(leaders, ["tree", "region"]), "crowded")
+    crowded = materialize(rows.join(leaders.hint("merge"), ["tree", "region"]), "crowded")
     sets = materialize(_sets(docs, crowded.select("id").distinct(), width), "sets")
 
     led = crowded.where(F.col("id") != F.col("lead.id")).select(
