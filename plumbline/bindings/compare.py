@@ -113,9 +113,12 @@ def relabeled_query(spark, sf):
 
 
 def phrases_query(spark, sf):
-    """The first two words of every benchmark text looked up in all documents."""
-    b = table(spark, sf, "benchmark").select(F.concat_ws(" ", F.slice(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), 1, 2)).alias("phrase"), F.lit("usual term").alias("expected")).distinct()
-    found = I.tortured_phrases(table(spark, sf, "documents").select("doc_id", "text"), b)
+    """The first one to seven words of every benchmark text, by its number, looked up in all documents and benchmark texts."""
+    b = table(spark, sf, "benchmark")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    lexicon = b.select(F.concat_ws(" ", F.slice(words, F.lit(1), (F.col("item_id") % 7 + 1).cast("int"))).alias("phrase"), F.lit("usual term").alias("expected")).distinct()
+    texts = table(spark, sf, "documents").select("doc_id", "text").unionByName(b.select((-F.col("item_id") - 1).alias("doc_id"), "text"))
+    found = I.tortured_phrases(texts, lexicon)
     return found.groupBy("doc_id", "gram").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("sentences"))
 
 
@@ -169,7 +172,7 @@ def case_cards(spark, sf):
     d = table(spark, sf, "labels")
     k = F.col("doc_id")
     strings = lambda *v: F.array(*[F.lit(x) for x in v])
-    counter = F.struct(F.when(k % 4 == 0, "ftp://x").otherwise("https://example.org").alias("url"), F.when(k % 3 == 0, "correction").otherwise("other").alias("source_type"), F.lit("2024-05-06").alias("observed_at"))
+    counter = F.struct(F.when(k % 4 == 0, "ftp://x").when(k % 7 == 3, "https://example.org/?access_token=abc").otherwise("https://example.org").alias("url"), F.when(k % 3 == 0, "correction").otherwise("other").alias("source_type"), F.lit("2024-05-06").alias("observed_at"))
     event = F.struct(F.lit("update").alias("source_type"), F.when(k % 8 == 0, "yesterday").otherwise("2024-01-01T10:00:00Z").alias("observed_at"), F.lit(None).cast("string").alias("source_url"))
     return d.select(
         F.concat(F.lit("case"), k.cast("string")).alias("case_id"),
@@ -184,7 +187,9 @@ def case_cards(spark, sf):
         F.when(F.col("quality") == 1, strings("cand_a", "cand_b")).otherwise(strings("cand_c")).alias("detector_candidates"),
         strings("raw data").alias("manual_verification_needed"),
         strings("rounding").alias("false_positive_risks"),
-        F.when(k % 11 == 0, "proven fraud").otherwise("to be checked").alias("safe_report_language"),
+        # two leaks in one card: neither hides the other
+        F.when(k % 11 == 0, "proven fraud").when(k % 11 == 1, "from /home/u/one.txt").otherwise("to be checked").alias("safe_report_language"),
+        F.when(k % 11 == 1, "and /home/u/two.txt").alias("note"),
         F.when(k % 13 == 0, "unsupported_motive").otherwise("research_integrity").alias("scope"),
         F.when(k % 10 == 0, "doi").otherwise("10.1234/x").alias("target_doi"),
         F.lit("2024-02-03").alias("source_accessed_at"),
@@ -270,11 +275,14 @@ ORACLES = {
     "relabeled_source_data": """with d as (select sha256(text) content_hash, source as label, count(*) n from documents group by all),
       q as (select distinct sha256(text) content_hash, source as label from documents where doc_id%10=0)
       select content_hash, count(*) labels, sum(n)::bigint files, min(label) first_label, max(label) last_label from d anti join q using (content_hash, label) group by 1 having count(*)>1""",
-    "tortured_phrases": """with lx as (select distinct array_to_string(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')[1:2], ' ') ph from benchmark),
-      s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?]\\s+|\\n+')) st, generate_subscripts(regexp_split_to_array(text, '[.!?]\\s+|\\n+'), 1) sn from documents),
+    "tortured_phrases": """with bw as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x<>'') w from benchmark),
+      lx as (select distinct array_to_string(w[1:(item_id%7+1)::int], ' ') ph, least(len(w), item_id%7+1) n from bw),
+      t as (select doc_id, text from documents union all select -item_id-1, text from benchmark),
+      s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?]\\s+|\\n+')) st, generate_subscripts(regexp_split_to_array(text, '[.!?]\\s+|\\n+'), 1) sn from t),
       w as (select doc_id, sn, list_filter(regexp_split_to_array(lower(st), '[^\\p{L}\\p{N}]+'), lambda x: x<>'') w from s),
-      g as (select doc_id, sn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) gram from w)
-      select doc_id, gram, count(*) uses, count(distinct sn) sentences from g join lx on lx.ph=g.gram group by all""",
+      z as (select distinct n from lx),
+      g as (select doc_id, sn, unnest(list_transform(range(1, (len(w)-n+2)::bigint), lambda i: array_to_string(w[i:i+n-1], ' '))) gram from w, z where len(w)>=n)
+      select doc_id, gram, count(*) uses, count(distinct sn) sentences from g join (select distinct ph from lx) lx on lx.ph=g.gram group by all""",
     "process_lineage": """with r as (select p_partkey k, p_size z from part where p_partkey%4<>3),
       x as (select k, concat_ws(',', case when k%7=0 then 'measurement_stage' end, case when k%9=0 then 'distribution_basis' end) mi, k%5 in (0,1) bad, (50.0+k%900)/(100.0+z) ratio from r)
       select k::varchar sample_id, case when bad then 'invalid_stages' when mi<>'' then 'missing_context' else 'large_diameter_to_pore_ratio' end kind, mi as missing
@@ -295,7 +303,9 @@ ORACLES = {
         case when k%13=0 then 'unsupported motive cannot become a finding' end, case when k%10=0 then 'target_doi is not a DOI' end,
         case when k%4=0 and k%24<>0 then 'counter source needs a public URL' end, case when k%8=0 then 'timeline date must be ISO-8601' end,
         case when k%24=0 then 'closed status requires a counter source' end, case when k%12=0 and k%24<>0 and k%3<>0 then 'closed status requires a publisher counter source' end,
-        case when k%11=0 then 'forbidden phrase found: proven fraud' end]) message from l)
+        case when k%11=0 then 'forbidden phrase found: proven fraud' end, case when k%11=1 then 'private/local path fragment found: /home/u/one.txt' end,
+        case when k%11=1 then 'private/local path fragment found: /home/u/two.txt' end,
+        case when k%4<>0 and k%7=3 then 'sensitive authentication material found in public record' end]) message from l)
       select 'case' || k case_id, message from m where message is not null""",
     "rule_candidate_rollup": """with a as (select count(*) filter (quality=1) q1, count(*) filter (quality<>1) q0, min('case' || doc_id) filter (quality=1) f1, min('case' || doc_id) filter (quality<>1) f0,
        count(*) filter (toxic=1) t1, min('case' || doc_id) filter (toxic=1) ft, count(distinct doc_id%2) filter (quality=1) p1, count(distinct doc_id%2) filter (quality<>1) p0,

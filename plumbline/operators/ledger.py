@@ -65,28 +65,18 @@ def validate_ledger(findings: DataFrame) -> DataFrame:
 
 
 def record_safety_issues(findings: DataFrame) -> DataFrame:
-    """Distinct safety messages over every text and metadata key of a finding.
+    """Distinct safety messages over every text and map key of a finding, nested ones too.
 
     One cheap test over the joined texts of a record decides whether its texts are
     looked at one by one.
     """
-    suspect = findings.where(safety.suspicious(_all_text()))
-    texts = suspect.select("package_id", "finding_id", "seq", F.explode(F.split(_all_text(), "\u0002")).alias("text"))
-    found = texts.select("package_id", "finding_id", "seq", F.explode(safety.text_safety_issues(F.col("text"))).alias("message"))
-    keys = findings.select(
-        "package_id", "finding_id", "seq", F.explode(safety.auth_key_issues(F.map_keys("metadata"))).alias("message")
-    )
-    return found.unionByName(keys).distinct().select("package_id", "finding_id", "seq", _kind_of(F.col("message")).alias("kind"), "message")
-
-
-def _all_text() -> Column:
-    """All texts of a finding, joined by a control character that no pattern crosses."""
-    plain = ["finding_id", "rule_id", "type", "finding_category", "source_file", "table_id", "safe_report_language"]
-    lists = ["manual_requests", "alternative_explanations", "false_positive_risks", "limitations"]
-    located = [F.col(f"evidence.{k}") for k in ("source", "location", "quote")]
-    return F.concat_ws(
-        "\u0002", *plain, "correlation_group", "resolution_status", *lists, *located, F.map_values("metadata"), F.map_keys("metadata")
+    texts, keys = safety.texts_of(findings.schema), safety.keys_of(findings.schema)
+    suspect = findings.where(safety.suspicious(F.concat_ws("\u0002", texts)))
+    found = suspect.select("package_id", "finding_id", "seq", F.explode(F.array_distinct(texts)).alias("text")).select(
+        "package_id", "finding_id", "seq", F.explode(safety.text_safety_issues(F.col("text"))).alias("message")
     )
+    named = findings.select("package_id", "finding_id", "seq", F.explode(safety.auth_key_issues(keys)).alias("message"))
+    return found.unionByName(named).distinct().select("package_id", "finding_id", "seq", _kind_of(F.col("message")).alias("kind"), "message")
 
 
 def _kind_of(message: Column) -> Column:
@@ -167,11 +157,11 @@ def split_scope(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
-def scoreable(findings: DataFrame) -> DataFrame:
-    """The findings that count for the score."""
+def counts_for_score() -> Column:
+    """Whether a finding counts for the score."""
     category = F.lower(F.coalesce("finding_category", "type", F.lit("")))
     source_type = F.lower(F.coalesce(F.col("metadata")["source_type"], F.lit("")))
-    return findings.where(
+    return (
         (F.coalesce("scope", F.lit(INTEGRITY)) == INTEGRITY)
         & ~category.isin(METHOD_CARD_TYPES)
         & (source_type != "public_method")
@@ -201,15 +191,18 @@ def score_expr() -> Column:
 def mrpi(findings: DataFrame) -> DataFrame:
     """Review priority per package: one maximum per correlation key, the rest added.
 
-    Scores are decimals, so the sum does not depend on the order of partitions.
+    Scores are decimals, so the sum does not depend on the order of partitions. A package
+    whose findings all do not count has the score 0.
     """
+    counts = counts_for_score()
     per_key = (
-        scoreable(findings)
-        .select("package_id", correlation_key(findings).alias("key"), score_expr().alias("score"))
+        findings.select(
+            "package_id", correlation_key(findings).alias("key"), F.when(counts, score_expr()).alias("score"), counts.alias("counts")
+        )
         .groupBy("package_id", "key")
-        .agg(F.max("score").alias("top"), F.sum("score").alias("all"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max("score").alias("top"), F.sum("score").alias("all"), F.count_if("counts").alias("n"))
     )
-    total = F.sum(F.when(F.col("key").isNull(), F.col("all")).otherwise(F.col("top")))
+    total = F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("all")).otherwise(F.col("top"))), F.lit(0).cast("decimal(18,16)"))
     return per_key.groupBy("package_id").agg(
         F.round(F.least(total, F.lit(1).cast("decimal(1,0)")).cast("double") * 100.0, 2).alias("mrpi"),
         F.sum("n").alias("scored_findings"),
@@ -321,22 +314,21 @@ def provenance_graph(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.explode(
                 F.array(
                     node(package, "package", F.col("package_id")),
-                    node("source_node", "source_file", F.substring("source_node", 8, 10000)),
-                    node("rule_node", "rule", F.substring("rule_node", 6, 10000)),
+                    node("source_node", "source_file", F.expr("substr(source_node, 8)")),
+                    node("rule_node", "rule", F.expr("substr(rule_node, 6)")),
                 )
             ).alias("n"),
         )
         .select("package_id", "n.*")
         .distinct()
     )
-    short = lambda t: F.when(F.length(t) > 60, F.concat(F.substring(t, 1, 60), F.lit("..."))).otherwise(t)
-    bare = F.substring("finding_node", 9, 10000)
+    bare = F.expr("substr(finding_node, 9)")
     questions = unique.select("package_id", "finding_node", bare.alias("_bare"), F.posexplode("requests").alias("pos", "text")).select(
         "package_id",
         "finding_node",
         F.concat(F.lit("question:"), F.col("_bare"), F.lit("-q"), (F.col("pos") + 1).cast("string")).alias("node_id"),
         F.lit("verification_question").alias("node_type"),
-        short(F.col("text")).alias("label"),
+        F.col("text").alias("label"),
     )
     nodes = fixed_nodes.unionByName(
         unique.select("package_id", F.col("finding_node").alias("node_id"), F.lit("finding").alias("node_type"), bare.alias("label"))

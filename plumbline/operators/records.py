@@ -191,7 +191,7 @@ def formula_recompute(cells: DataFrame, tol_abs: float = 0.05, tol_rel: float =
     """
     address = F.concat(column_letters(F.col("col")), F.col("row").cast("string"))
     values = cells.select(*SHEET, address.alias("ref"), F.trim("value").alias("ref_value"))
-    body = F.trim(F.substring("formula", 2, 1 << 20))
+    body = F.trim(F.expr("substr(formula, 2)"))
     simple = cells.where(F.col("formula").startswith("=")).withColumn("body", F.upper(body)).where(
         ~F.col("body").rlike(r"[!\[\]:$]") & F.col("body").rlike(ONLY_ARITHMETIC)
     )
@@ -307,10 +307,9 @@ def case_card_issues(cards: DataFrame) -> DataFrame:
         (closing & (counters > 0) & ~official, "closed status requires a publisher counter source"),
     ]
     messages = F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))
-    texts = [c for c, t in types.items() if t == "string"]
-    lists = [c for c, t in types.items() if t == "array<string>"]
-    joined = F.concat_ws("\u0002", *texts, *lists)
-    unsafe = safety.text_safety_issues(joined)
+    # every text on its own, nested ones and map keys too, so that one leak hides no other
+    unsafe = F.flatten(F.transform(safety.texts_of(cards.schema), safety.text_safety_issues))
+    unsafe = F.concat(unsafe, safety.auth_key_issues(safety.keys_of(cards.schema)))
     return cards.select("case_id", F.explode(F.concat(messages, unsafe)).alias("message")).distinct()
 
 

@@ -76,13 +76,24 @@ def _bucket() -> Column:
 
 
 def _load(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame | None:
-    """Newest version of every bucket from batches before ``before``; None for an empty folder."""
+    """Newest version of every bucket from batches before ``before``; None for an empty folder.
+
+    Batch and bucket are folders, so finding the newest batch of each of the ``BUCKETS``
+    buckets reads no data, and only the files of those versions are read afterwards.
+    """
     try:
         rows = spark.read.schema(schema).parquet(path).where(F.col("batch") < before)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["bucket", "batch"])
+    newest: dict[int, list[int]] = {}
+    for r in rows.groupBy("bucket").agg(F.max("batch").alias("batch")).collect():
+        newest.setdefault(r["batch"], []).append(r["bucket"])
+    wanted = F.lit(False)
+    for batch, buckets in newest.items():
+        wanted = wanted | ((F.col("batch") == batch) & F.col("bucket").isin(buckets))
+    return rows.where(wanted)
 
 
 def _state_schema(event_time: str) -> T.StructType:
