@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
     )
     more = materialize(confirm(open_pairs.select("a", "b"), sets, percent), "confirmed")
-    grouped = components(links.unionByName(more)).withColumnRenamed("id", "rep")
+    # components of the first round are one link each to their smallest id, so few rounds follow
+    stars = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    grouped = components(stars.unionByName(more)).withColumnRenamed("id", "rep")
 
     named = known.drop("labels").join(classes, name, "left").join(grouped, "rep", "left")
     kind = docs.schema["doc_id"].dataType
