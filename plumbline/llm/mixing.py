@@ -19,7 +19,7 @@ from plumbline.session import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of a source that one window of the running total should hold.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 #: Schedule of the first, second, third weight: (time, weight); only the shape matters.
 SCHEDULES = (
     ((0.0, 1.0), (1.0, 1.0)),
