@@ -13,16 +13,14 @@ SPREAD = {"customer", "part", "orders", "lineitem", "events", "documents", "embe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in fewer splits than there are cores is spread first.
+    """A given table, split as its files are.
 
-    A large table has more splits than cores and is read as it is. Filters and column
-    selections still reach the scan, as they pass through a repartition.
+    The local session of tests and bench sets ``spark.plumbline.spread``, since its tables are
+    one file of one row group each, which a scan cannot split. A cluster does not set it.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    spread = spark.conf.get("spark.plumbline.spread", None)
+    return df.repartition(int(spread)) if spread and name in SPREAD else df
 
 
 def map_text(c: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from plumbline.bindings.common import LINE_CELLS, ORDER_CELLS, line_cells, map_text, order_cells, table
 from plumbline.operators import numeric as N
 from plumbline.operators import profile as P
-from plumbline.session import materialize
 from plumbline.sources.frames import cells_from_dataframe
 
 
@@ -50,6 +49,20 @@ def runs_query(spark, sf):
     )
 
 
+def overflow_query(spark, sf):
+    """Part keys with twenty zeros behind them or twenty before a last one, among plain quantities."""
+    key = F.col("l_partkey").cast("string")
+    five = F.col("l_orderkey") % 5
+    text = (
+        F.when(five == 0, F.concat(key, F.lit("0" * 20)))
+        .when(five == 1, F.concat(F.lit("0."), key, F.lit("0" * 21 + "1")))
+        .otherwise(F.col("l_quantity").cast("string"))
+    )
+    rows = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_row"), text.alias("t"))
+    cells = cells_from_dataframe(rows, F.lit("lines"), F.col("_row"), ["t"], F.col("l_returnflag"))
+    return N.precision_overflow(cells).select("package_id", "overflowing", "first_row", "example")
+
+
 def step_query(spark, sf):
     scaled = P.scaled_counts(P.value_counts(P.numeric_values(line_cells(spark, sf))))
     return P.step_profile(scaled).select(
@@ -70,7 +83,7 @@ def overlap_query(spark, sf):
 
 
 def lattice_query(spark, sf):
-    scaled = materialize(P.scaled_counts(P.value_counts(P.numeric_values(order_cells(spark, sf)))), "scaled")
+    scaled = P.chunked_values(P.scaled_counts(P.value_counts(P.numeric_values(order_cells(spark, sf)))))
     return P.lattice_fit(scaled).select(
         "column_name",
         F.round("lattice_step", 6).alias("lattice_step"),
@@ -147,6 +160,7 @@ QUERIES = {
     "profile_columns": profile_query,
     "modal_value": modal_query,
     "run_lengths": runs_query,
+    "precision_overflow": overflow_query,
     "step_profile": step_query,
     "value_set_overlap": overlap_query,
     "lattice_fit": lattice_query,
@@ -228,6 +242,9 @@ ORACLES = {
       q as (select column_name, row_index, sum(case when value = pv then 0 else 1 end) over (partition by column_name order by row_index) run from p),
       r as (select column_name, run, count(*) run_length, min(row_index) run_start from q group by all)
       select column_name, count(*) n_runs, max(run_length) max_run, sum(run_length*run_start)::bigint weighted from r group by all""",
+    "precision_overflow": """with v as (select l_returnflag g, l_orderkey*8+l_linenumber k, case when l_orderkey%5=0 and l_partkey>0 then l_partkey::varchar || '00000000000000000000'
+        when l_orderkey%5=1 then '0.' || l_partkey::varchar || '0000000000000000000001' else l_quantity::varchar end t from lineitem)
+      select g package_id, count(*) overflowing, min(k) first_row, arg_min(t, k) example from v where length(t)>20 group by 1""",
     "step_profile": f"""with {LINE_CELLS}, {FIT},
       m as (select table_id, column_name, min(step) mn from steps group by all),
       b as (select *, row_number() over (partition by table_id, column_name order by step_count desc, first_k, step desc) rk from steps)

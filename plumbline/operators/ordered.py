@@ -14,7 +14,7 @@ CHUNK_ROWS = 1 << 18
 
 
 def order_chunk(order: Column, width: int = CHUNK_ROWS) -> Column:
-    """Chunk number of an integer order column."""
+    """Chunk number of a dense integer order column, such as line numbers; others take :func:`row_chunks`."""
     return F.floor(order / F.lit(width)).cast("long")
 
 
@@ -103,20 +103,6 @@ def islands(df: DataFrame, keys: list[str], order: str, chunk: str, value: str)
     )
 
 
-def with_value_chunk(df: DataFrame, keys: list[str], value: str, name: str = "_chunk") -> DataFrame:
-    """Add a chunk number that grows with a numeric column.
-
-    A group gets one equal slice of its range per ``CHUNK_ROWS`` rows, so ordinary
-    groups stay in one piece.
-    """
-    span = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.count(F.lit(1)).alias("_n")
-    )
-    slices = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS))
-    place = F.when(F.col("_hi") > F.col("_lo"), (F.col(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return _match(df, span, keys).withColumn(name, F.floor(place * slices).cast("long")).drop("_lo", "_hi", "_n")
-
-
 def row_chunks(df: DataFrame, keys: list[str], order: list[str], name: str = "_chunk") -> DataFrame:
     """Add a chunk number that grows with ``order`` within a group; chunks hold about equally many rows.
 

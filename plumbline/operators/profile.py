@@ -124,8 +124,8 @@ def modal_value(counts: DataFrame) -> DataFrame:
 
 
 def run_lengths(values: DataFrame) -> DataFrame:
-    """Runs of equal consecutive values per column."""
-    chunked = values.withColumn("_chunk", ordered.order_chunk(F.col("row_index")))
+    """Runs of equal consecutive values per column; chunks hold about equally many rows, however sparse the index."""
+    chunked = ordered.row_chunks(values.select(*KEYS, "row_index", "v"), KEYS, ["row_index"])
     return ordered.islands(chunked, KEYS, "row_index", "_chunk", "v")
 
 
@@ -164,14 +164,16 @@ def scaled_counts(counts: DataFrame) -> DataFrame:
 
 
 def _neighbours(scaled: DataFrame) -> DataFrame:
-    """Distinct values with the next smaller one; equal slices of the range are the chunks."""
-    span = (F.col("v1") - F.col("v0")).cast("double")
-    place = F.when(span > 0, (F.col("v") - F.col("v0")).cast("double") / span).otherwise(0.0)
-    slices = F.ceil(F.col("total") / F.lit(ordered.CHUNK_ROWS))
-    chunked = scaled.withColumn("_chunk", F.floor(place * slices).cast("long"))
+    """Distinct values with the next smaller one; values chunked already (:func:`chunked_values`) are used as they are."""
+    chunked = scaled if "_chunk" in scaled.columns else chunked_values(scaled)
     return ordered.with_previous(chunked, KEYS, "k", "_chunk", ["k"], "_prev").where(F.col("_prev").isNotNull())
 
 
+def chunked_values(scaled: DataFrame) -> DataFrame:
+    """Scaled counts in chunks of about equally many distinct values, written once for all that reads them."""
+    return ordered.row_chunks(scaled, KEYS, ["k"])
+
+
 def step_candidates(scaled: DataFrame) -> DataFrame:
     """Gaps between neighbouring distinct values, with count and first position."""
     return (

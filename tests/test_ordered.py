@@ -54,3 +54,14 @@ def test_runs_cross_chunk_borders(spark):
 def test_rank_spans_partitions(rows):
     ranked = ordered.with_rank(rows, ["k"], ["o"], "r").select("k", "o", "r")
     same(ranked, rows.select("k", "o", F.row_number().over(plain()).alias("r")))
+
+
+@pytest.mark.parametrize("values", [[i * 10**9 for i in range(4000)], [*range(3999), 10**15]])
+def test_row_chunks_are_even(spark, values):
+    """Neither a sparse index nor an outlier makes many or uneven chunks."""
+    df = spark.createDataFrame([("k", v) for v in values], "k string, o long").repartition(5)
+    sizes = [r["count"] for r in ordered.row_chunks(df, ["k"], ["o"]).groupBy("_chunk").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 4000 and len(sizes) <= parts and max(sizes) <= 2 * 4000 / parts
+    runs = ordered.islands(ordered.row_chunks(df.withColumn("v", F.lit(1)), ["k"], ["o"]), ["k"], "o", "_chunk", "v").collect()
+    assert [r["run_length"] for r in runs] == [4000]
