@@ -86,22 +86,6 @@ def validate_query(spark, sf):
     return L.validate_ledger(event_findings(spark, sf)).select("package_id", "finding_id", "kind", "message")
 
 
-def nested_query(spark, sf):
-    """Findings with leaks below their top level: in evidence metadata (key and value), a claim id and a version."""
-    eid = F.col("seq")
-    key = F.when(eid % 37 == 0, "session-id").otherwise("tier")
-    value = F.when(eid % 41 == 0, "copied from /home/u/notes/x.txt").otherwise("E1")
-    leaky = F.transform("evidence", lambda e: e.withField("metadata", F.create_map(key, value)))
-    rows = event_findings(spark, sf).withColumns(
-        {
-            "evidence": leaky,
-            "claim_ids": F.when(eid % 43 == 0, F.array(F.lit("c1"), F.lit("see D:\\data\\c2"))),
-            "source_versions": F.when(eid % 47 == 0, F.array(F.lit("proven fake"))),
-        }
-    )
-    return L.validate_ledger(rows).where("kind <> 'schema error'").select("package_id", "finding_id", "kind", "message")
-
-
 def scope_query(spark, sf):
     integrity, engineering, unknown = L.split_scope(event_findings(spark, sf))
     parts = [(integrity, "integrity"), (engineering, "engineering"), (unknown, "unknown")]
@@ -199,7 +183,6 @@ QUERIES = {
     "mrpi": mrpi_query,
     "unify_findings": unify_query,
     "validate_ledger": validate_query,
-    "validate_ledger_nested": nested_query,
     "split_scope": scope_query,
     "findings_summary": summary_query,
     "review_queue": queue_query,
@@ -260,11 +243,6 @@ ORACLES = {
       r as (select *, row_number() over (partition by package_id, rule_id, source_file, safe_report_language order by l, seq) rn from u)
       select package_id, rule_id, source_file, safe_report_language, risk_level, seq, was_unnamed from r where rn=1""",
     "validate_ledger": f"""with {FINDINGS_SQL}, {_SCHEMA} select package_id, finding_id, 'schema error' as kind, message from i where message is not null""",
-    "validate_ledger_nested": f"""with {FINDINGS_SQL}, ok as (select * from f where scope<>'unsupported_motive' and risk_level<>'minor' and ev_source is not null and confidence<=1)
-      select package_id, finding_id, 'sensitive authentication material' as kind, 'sensitive authentication field found: session_id' as message from ok where seq%37=0
-      union all select package_id, finding_id, 'private path leak', 'private/local path fragment found: /home/u/notes/x.txt' from ok where seq%41=0
-      union all select package_id, finding_id, 'private path leak', 'private/local path fragment found: D:\\data\\c2' from ok where seq%43=0
-      union all select package_id, finding_id, 'forbidden phrase', 'forbidden phrase found: proven fake' from ok where seq%47=0""",
     "split_scope": f"""with {FINDINGS_SQL} select case scope when 'research_integrity' then 'integrity' else 'engineering' end part, package_id, finding_id
       from f where scope<>'unsupported_motive'""",
     "findings_summary": f"""with {FINDINGS_SQL}
