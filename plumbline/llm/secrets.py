@@ -31,10 +31,15 @@ MORE_RULES = {
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     "vendor": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,})"),
-    "login": re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s:/@]{1,64}:[^\s:/@]{4,64}@[A-Za-z0-9.-]+"),
+    "login": re.compile(r"[a-z][a-z0-9+]{1,9}://[^\s:/@]+:[^\s:/@]{4,}@[A-Za-z0-9.-]+"),
+}
+#: A text that holds none of a rule's hints has no match of it: each alternative has one of them as its fixed part.
+HINTS = {
+    "pem": ("-----BEGIN",),
+    "jwt": ("eyJ",),
+    "vendor": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_"),
+    "login": ("://",),
 }
-#: A text that holds none of these has no match of the rule.
-HINTS = {"pem": "-----BEGIN", "jwt": "eyJ", "vendor": "_", "login": "://"}
 ORDER = {kind: n for n, kind in enumerate([*KINDS, *MORE_RULES])}
 RULE_VERSION = hashlib.sha256(
     "\n".join(
@@ -62,7 +67,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ENOUGH_ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in ENOUGH_HEX.finditer(text)]
     for kind, rule in MORE_RULES.items():
-        if HINTS[kind] in text:
+        if any(h in text for h in HINTS[kind]):
             found += [(kind, *m.span()) for m in rule.finditer(text)]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
