@@ -93,6 +93,7 @@ def plan_mix(
     total: float = 1.5,
     cap: float = 2.0,
     schedules=SCHEDULES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: how many of its words the mix takes, and where.
 
@@ -103,8 +104,8 @@ def plan_mix(
 
     A null or empty text has size 0 and is never taken. A null source is a source of its
     own, the last one. Rows with one doc_id are separate documents; equal ones may swap
-    places, which changes no row of the result. A null doc_id counts as an id. Other
-    columns of ``docs`` are ignored. No documents give no rows.
+    places, which changes no row of the result. A null doc_id counts as an id. The
+    columns ``carry`` come along and break ties; other columns of ``docs`` are ignored. No documents give no rows.
     """
     sizes = materialize(
         docs.select(
@@ -113,6 +114,7 @@ def plan_mix(
             F.coalesce(F.col("source"), F.lit("")).alias("_source"),
             word_count(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_draw"),
+            *carry,
         ),
         "sizes",
     )
@@ -129,7 +131,7 @@ def plan_mix(
         .withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
         .drop("_words")
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_draw", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = local.join(before, [*keys, "_bucket"]).join(targets.drop("_rows"), keys)
     due = F.round("target").cast("long")
@@ -152,9 +154,16 @@ def plan_mix(
         "target",
         sum(words[1:], words[0]).cast("long").alias("taken"),
         F.array_compact(F.array(*positions)).alias("positions"),
+        *carry,
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, with the white space before and between."""
+    pieces = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def training_order(plan: DataFrame) -> DataFrame:
     """One row per copy taken, range-sorted by training position (ties by doc_id)."""
     copies = plan.select("*", F.posexplode("positions").alias("copy", "position")).drop("positions")
