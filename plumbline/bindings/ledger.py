@@ -86,6 +86,22 @@ def validate_query(spark, sf):
     return L.validate_ledger(event_findings(spark, sf)).select("package_id", "finding_id", "kind", "message")
 
 
+def nested_query(spark, sf):
+    """Findings with leaks below their top level: in evidence metadata (key and value), a claim id and a version."""
+    eid = F.col("seq")
+    key = F.when(eid % 37 == 0, "session-id").otherwise("tier")
+    value = F.when(eid % 41 == 0, "copied from /home/u/notes/x.txt").otherwise("E1")
+    leaky = F.transform("evidence", lambda e: e.withField("metadata", F.create_map(key, value)))
+    rows = event_findings(spark, sf).withColumns(
+        {
+            "evidence": leaky,
+            "claim_ids": F.when(eid % 43 == 0, F.array(F.lit("c1"), F.lit("see D:\\data\\c2"))),
+            "source_versions": F.when(eid % 47 == 0, F.array(F.lit("proven fake"))),
+        }
+    )
+    return L.validate_ledger(rows).where("kind <> 'schema error'").select("package_id", "finding_id", "kind", "message")
+
+
 def scope_query(spark, sf):
     integrity, engineering, unknown = L.split_scope(event_findings(spark, sf))
     parts = [(integrity, "integrity"), (engineering, "engineering"), (unknown, "unknown")]
@@ -124,7 +140,7 @@ def module_status_query(spark, sf):
 
 
 def roundtrip_query(spark, sf):
-    """Valid findings written as a ledger and read back, next to one broken line per package."""
+    """Valid findings published as a ledger and read back."""
     good = event_findings(spark, sf)
     bad = L.validate_ledger(good).select("package_id", "finding_id").distinct()
     path = scratch_path(spark, "ledger")
@@ -137,6 +153,20 @@ def roundtrip_query(spark, sf):
     )
 
 
+def issues_query(spark, sf):
+    """Ledger lines from the events, some of them cut off: what is kept and what becomes an issue."""
+    e = table(spark, sf, "events")
+    line = F.to_json(F.struct(F.concat(F.lit("f"), "event_id").alias("candidate_id"), F.col("event_type").alias("rule_id"), F.lit("low").alias("risk")))
+    cut = F.expr("substring(line, 1, length(line) - 1 - event_id % 5)")
+    lines = e.select("event_id", line.alias("line")).select(F.when(F.col("event_id") % 7 == 0, cut).otherwise(F.col("line")).alias("value"))
+    path = scratch_path(spark, "lines")
+    lines.write.text(path)
+    kept, issues = read_ledger(spark, path)
+    return kept.select(F.lit("finding").alias("kind"), F.concat_ws(" ", "finding_id", "type", "risk_level").alias("text")).unionByName(
+        issues.select("kind", F.col("message").alias("text"))
+    )
+
+
 # whole texts with a planted ending per source and language
 _PLANTED = """concat(text, case source when 'src1' then ' session_id: abc' when 'src2' then ' Fraud Confirmed' when 'src3' then ' see /srv/data/x.csv'
   when 'src4' then ' in raw_metadata/a' when 'src5' then ' C:/Users/x.txt' else '' end, case lang when 'de' then ' bearer abc' else '' end)"""
@@ -183,6 +213,7 @@ QUERIES = {
     "mrpi": mrpi_query,
     "unify_findings": unify_query,
     "validate_ledger": validate_query,
+    "validate_ledger_nested": nested_query,
     "split_scope": scope_query,
     "findings_summary": summary_query,
     "review_queue": queue_query,
@@ -190,6 +221,7 @@ QUERIES = {
     "provenance_edges": graph_edges_query,
     "module_status": module_status_query,
     "ledger_roundtrip": roundtrip_query,
+    "ledger_issues": issues_query,
     "safety_issues": safety_query,
     "safety_issues_conversations": safety_turns_query,
     "redact_public_text": redact_query,
@@ -243,6 +275,11 @@ ORACLES = {
       r as (select *, row_number() over (partition by package_id, rule_id, source_file, safe_report_language order by l, seq) rn from u)
       select package_id, rule_id, source_file, safe_report_language, risk_level, seq, was_unnamed from r where rn=1""",
     "validate_ledger": f"""with {FINDINGS_SQL}, {_SCHEMA} select package_id, finding_id, 'schema error' as kind, message from i where message is not null""",
+    "validate_ledger_nested": f"""with {FINDINGS_SQL}, ok as (select * from f where scope<>'unsupported_motive' and risk_level<>'minor' and ev_source is not null and confidence<=1)
+      select package_id, finding_id, 'sensitive authentication material' as kind, 'sensitive authentication field found: session_id' as message from ok where seq%37=0
+      union all select package_id, finding_id, 'private path leak', 'private/local path fragment found: /home/u/notes/x.txt' from ok where seq%41=0
+      union all select package_id, finding_id, 'private path leak', 'private/local path fragment found: D:\\data\\c2' from ok where seq%43=0
+      union all select package_id, finding_id, 'forbidden phrase', 'forbidden phrase found: proven fake' from ok where seq%47=0""",
     "split_scope": f"""with {FINDINGS_SQL} select case scope when 'research_integrity' then 'integrity' else 'engineering' end part, package_id, finding_id
       from f where scope<>'unsupported_motive'""",
     "findings_summary": f"""with {FINDINGS_SQL}
@@ -276,6 +313,9 @@ ORACLES = {
     "ledger_roundtrip": f"""with {FINDINGS_SQL}, {_SCHEMA}
       select rule_id, risk_level, count(*) findings, (count(*)*2)::bigint requests, sum(seq)::bigint seq_sum from f
       where finding_id not in (select finding_id from i where message is not null) group by all""",
+    "ledger_issues": """with l as (select event_id, event_type, '{"candidate_id":"f' || event_id || '","rule_id":"' || event_type || '","risk":"low"}' as line from events)
+      select case when event_id%7=0 then 'json error' else 'finding' end as kind,
+      case when event_id%7=0 then substring(line, 1, length(line) - 1 - event_id%5) else 'f' || event_id || ' ' || event_type || ' low' end as text from l""",
     "safety_issues": _safety_sql("documents", "doc_id", _PLANTED),
     "safety_issues_conversations": _safety_sql(
         "conversations", "conv_id || '-' || turn", "concat(text, ' ', role, '_token: c:/tmp/', turn)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import safety
 from plumbline.functions.risk import CLOSED_STATUSES, METHOD_CARD_TYPES, RISK_ORDER, risk_weight
 from plumbline.schemas import FINDINGS
+from plumbline.session import staged
 
 # Scopes of a finding.
 INTEGRITY = "research_integrity"
@@ -55,28 +56,40 @@ def schema_issues() -> Column:
 
 
 def validate_ledger(findings: DataFrame) -> DataFrame:
-    """One row per broken rule: ``package_id, finding_id, seq, kind, message``."""
-    rows = findings.withColumn("_schema", schema_issues())
-    broken = rows.select("package_id", "finding_id", "seq", F.explode("_schema").alias("i")).select(
+    """One row per broken rule of a record: ``package_id, finding_id, seq, kind, message``.
+
+    Unsafe texts are looked for only in records that pass the schema rules.
+    """
+    rows = staged(_with_texts(findings), _schema=schema_issues())
+    issues = F.when(F.size("_schema") > 0, F.col("_schema")).otherwise(_safety_found())
+    return rows.select("package_id", "finding_id", "seq", F.explode(issues).alias("i")).select(
         "package_id", "finding_id", "seq", "i.kind", "i.message"
     )
-    # unsafe texts are looked for only in records that pass the schema rules
-    return broken.unionByName(record_safety_issues(rows.where(F.size("_schema") == 0)))
 
 
 def record_safety_issues(findings: DataFrame) -> DataFrame:
-    """Distinct safety messages over every text and map key of a finding, nested ones too.
+    """The distinct safety messages over every text and map key of a record, nested ones too."""
+    return _with_texts(findings).select("package_id", "finding_id", "seq", F.explode(_safety_found()).alias("i")).select(
+        "package_id", "finding_id", "seq", "i.kind", "i.message"
+    )
 
-    One cheap test over the joined texts of a record decides whether its texts are
-    looked at one by one.
-    """
+
+def _with_texts(findings: DataFrame) -> DataFrame:
+    """All texts and map keys of a record as two arrays, next to its own columns."""
     texts, keys = safety.texts_of(findings.schema), safety.keys_of(findings.schema)
-    suspect = findings.where(safety.suspicious(F.concat_ws("\u0002", texts)))
-    found = suspect.select("package_id", "finding_id", "seq", F.explode(F.array_distinct(texts)).alias("text")).select(
-        "package_id", "finding_id", "seq", F.explode(safety.text_safety_issues(F.col("text"))).alias("message")
-    )
-    named = findings.select("package_id", "finding_id", "seq", F.explode(safety.auth_key_issues(keys)).alias("message"))
-    return found.unionByName(named).distinct().select("package_id", "finding_id", "seq", _kind_of(F.col("message")).alias("kind"), "message")
+    return staged(staged(findings), _texts=F.array_distinct(texts), _keys=keys)
+
+
+def _safety_found() -> Column:
+    """Array of ``struct(kind, message)`` for ``_texts`` and ``_keys``.
+
+    One cheap test over the joined texts decides whether they are looked at one by one.
+    """
+    none = F.array().cast("array<string>")
+    one_by_one = F.flatten(F.transform(F.filter("_texts", safety.suspicious), safety.text_safety_issues))
+    found = F.when(safety.suspicious(F.concat_ws("\u0002", "_texts")), one_by_one).otherwise(none)
+    messages = F.array_distinct(F.concat(found, safety.auth_key_issues(F.col("_keys"))))
+    return F.transform(messages, lambda m: F.struct(_kind_of(m).alias("kind"), m.alias("message")))
 
 
 def _kind_of(message: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Scratch folders of local sessions without spark.checkpoint.dir, by application.
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -62,3 +63,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, worked out once per row.
+
+    A generator of one struct makes plain columns out of them: the optimizer neither copies
+    a long expression into each of its uses nor infers filters from it, which takes it
+    minutes where hundreds of expressions build on each other.
+    """
+    every = [F.col(f"`{c}`") for c in df.columns] + [c.alias(name) for name, c in columns.items()]
+    return df.select(F.inline(F.array(F.struct(*every))))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ledger import validate_ledger
 from plumbline.schemas import CLAIMS, FINDINGS, VERSION_EVENTS
+from plumbline.session import materialize
 
 _S = T.StringType()
 
@@ -80,9 +84,56 @@ def normalize_ledger(raw: DataFrame) -> DataFrame:
     return raw.select(*[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in FINDINGS.fields])
 
 
+class LedgerRejected(ValueError):
+    """The ledger breaks at least one rule and was not written."""
+
+
+#: Findings of one file at most, and of one writing task about.
+FILE_ROWS = 250_000
+_COMMIT = T.StructType(
+    [
+        T.StructField("number", T.LongType()),
+        T.StructField("version", _S),
+        T.StructField("file_format", _S),
+        T.StructField("packages", T.LongType()),
+        T.StructField("findings", T.LongType()),
+    ]
+)
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """The commits of a written ledger, or None where ``path`` holds plain files."""
+    try:
+        return spark.read.schema(_COMMIT).json(f"{path.rstrip('/')}/_commits")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def current_version(spark: SparkSession, path: str) -> Row | None:
+    """The newest commit of a ledger, or None where nothing was written by :func:`write_ledger`."""
+    commits = _commits(spark, path)
+    return None if commits is None else commits.orderBy(F.col("number").desc(), F.col("version").desc()).first()
+
+
+def _data(path: str, version: str) -> str:
+    return f"{path.rstrip('/')}/_versions/{version}"
+
+
+def _located(spark: SparkSession, path: str) -> str:
+    found = current_version(spark, path)
+    return _data(path, found["version"]) if found else path
+
+
 def read_ledger(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(findings, issues): broken lines become issues, the rest is kept."""
-    raw = read_json_lines(spark, paths, _ledger_schema())
+    """(findings, issues): broken lines become issues, the rest is kept.
+
+    A path is a file or folder of JSON lines, or a ledger of :func:`write_ledger`, of which
+    the version committed last is read.
+    """
+    located = [_located(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
+    raw = read_json_lines(spark, located, _ledger_schema())
     broken = F.col("_corrupt_record").isNotNull()
     issues = raw.where(broken).select(
         F.col("_file").alias("source_file"), F.lit("json error").alias("kind"), F.col("_corrupt_record").alias("message")
@@ -90,31 +141,58 @@ def read_ledger(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return normalize_ledger(raw.where(~broken)), issues
 
 
-class LedgerRejected(ValueError):
-    """The ledger breaks at least one rule and was not written."""
+def write_ledger(findings: DataFrame, path: str, file_format: str = "json") -> str:
+    """Publish a ledger by package, but only if it passes validation; gives the name of the version.
 
-
-def write_ledger(findings: DataFrame, path: str, file_format: str = "json") -> None:
-    """Write a ledger by package, but only if it passes validation.
-
-    The package is a folder and stays in the records as well, so single files are complete.
+    The findings are written once to the shared folder; validation, data and manifest all
+    come from that copy, so a plan is not run twice and cannot change in between. The data
+    go to a folder of their own below ``path``, a folder per package, range-partitioned so
+    that a package of any size spreads over tasks and files. The manifest names each file
+    with its rows. The one-row commit comes last: until it is there, readers see the
+    version before, so a rejected, failed or repeated write leaves the old ledger whole.
+    Earlier versions stay in place.
     """
-    problems = validate_ledger(findings).limit(1).count()
-    if problems:
+    spark = findings.sparkSession
+    rows = materialize(findings, "ledger-input")
+    if not validate_ledger(rows).isEmpty():
         raise LedgerRejected("ledger has validation issues; nothing was written")
-    # one package per task keeps the number of files near the number of packages;
-    # the second key splits a package that holds very many findings
-    tasks = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64("finding_id"), F.lit(4))
+    per_package = rows.groupBy(F.coalesce("package_id", F.lit("")).alias("package")).agg(F.count(F.lit(1)).alias("n"))
+    packages, total = per_package.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    version, root = uuid.uuid4().hex, path.rstrip("/")
     (
-        findings.withColumn("package", F.col("package_id"))
-        .repartition(tasks, "package_id", spread)
-        .sortWithinPartitions("package")
-        .write.mode("overwrite")
+        rows.withColumn("package", F.col("package_id"))
+        .repartitionByRange(max(1, -(-total // FILE_ROWS)), "package", F.xxhash64("finding_id"))
+        .write.option("maxRecordsPerFile", FILE_ROWS)
         .partitionBy("package")
         .format(file_format)
-        .save(path)
+        .save(_data(path, version))
     )
+    files = ledger_files(spark, path, version, file_format)
+    files.write.json(f"{root}/_manifests/{version}")
+    held = spark.read.schema(files.schema).json(f"{root}/_manifests/{version}").agg(F.coalesce(F.sum("findings"), F.lit(0))).first()[0]
+    if held != total:
+        raise OSError(f"{held} of {total} findings reached the files; the ledger was not published")
+    before = current_version(spark, path)
+    commit = [((before["number"] if before else 0) + 1, version, file_format, packages, total)]
+    spark.createDataFrame(commit, _COMMIT).coalesce(1).write.mode("append").json(f"{root}/_commits")
+    return version
+
+
+def ledger_files(spark: SparkSession, path: str, version: str, file_format: str = "json") -> DataFrame:
+    """(file, findings): the files of a version and their rows, as they are."""
+    data = spark.read.schema(FINDINGS).format(file_format).load(_data(path, version))
+    return data.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+def damaged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, expected, found) of the files of the current version that differ from its manifest."""
+    now = current_version(spark, path)
+    if now is None:
+        raise ValueError(f"{path} holds no published ledger")
+    listed = spark.read.schema("file string, findings long").json(f"{path.rstrip('/')}/_manifests/{now['version']}")
+    found = ledger_files(spark, path, now["version"], now["file_format"])
+    both = listed.withColumnRenamed("findings", "expected").join(found.withColumnRenamed("findings", "found"), "file", "full")
+    return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
 # Claim types, and unit-free renamings of version source types.

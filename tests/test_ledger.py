@@ -146,3 +146,40 @@ def test_reconciliation(spark, make, events, expected):
     df = spark.createDataFrame([tuple(e[n] for n in schema.names) for e in events], schema)
     row = V.reconcile_versions(make({"claim_ids": ["c1"], "source_versions": ["v1"]}), df).collect()[0]
     assert (row.resolution_status, row.open_for_scoring, row.evidence_tier, row.counter_events) == expected
+
+
+def test_publish_keeps_the_old_ledger_until_the_commit(spark, make, monkeypatch):
+    from plumbline.sources import ledgers
+
+    path = scratch_path(spark, "t")
+    read = lambda: sorted(r.finding_id for r in read_ledger(spark, path)[0].collect())
+    first = write_ledger(make({}, {"finding_id": "f2", "package_id": "q"}, {"finding_id": "f3", "package_id": None}), path)
+    assert read() == ["f1", "f2", "f3"] and ledgers.damaged_files(spark, path).isEmpty()
+    with pytest.raises(LedgerRejected):
+        write_ledger(make({"finding_id": "bad", "evidence": []}), path)
+    assert read() == ["f1", "f2", "f3"]
+    # a write that breaks off after its data, before its commit
+    with monkeypatch.context() as m:
+        m.setattr(ledgers, "ledger_files", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            write_ledger(make({"finding_id": "half"}), path)
+    assert read() == ["f1", "f2", "f3"] and ledgers.current_version(spark, path)["version"] == first
+    write_ledger(make({"finding_id": "new"}), path)
+    assert read() == ["new"] and ledgers.current_version(spark, path)["number"] == 2
+    write_ledger(make({"finding_id": "again"}), path)
+    assert read() == ["again"]
+    write_ledger(make({}).limit(0), path)
+    assert read() == []
+
+
+def test_a_large_package_spreads_over_files(spark, make, monkeypatch):
+    from plumbline.sources import ledgers
+
+    monkeypatch.setattr(ledgers, "FILE_ROWS", 10)
+    path = scratch_path(spark, "t")
+    version = write_ledger(make(*[{"finding_id": f"f{i}", "package_id": "big" if i % 3 else f"p{i}"} for i in range(90)]), path)
+    files = ledgers.ledger_files(spark, path, version).collect()
+    assert sum(r.findings for r in files) == 90 and max(r.findings for r in files) <= 10
+    lost = spark.read.schema("file string, findings long").json(f"{path}/_manifests/{version}").withColumn("findings", F.col("findings") + 1)
+    lost.limit(1).write.mode("append").json(f"{path}/_manifests/{version}")
+    assert ledgers.damaged_files(spark, path).count() == 1
