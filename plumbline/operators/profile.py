@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -225,82 +227,87 @@ def value_set_overlap(values: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 MIN_STEP_TO_PRECISION = 1.5
-SALTS = 64
+#: Gaps of a column that are tried first, those with the best bounds.
+FIRST = 32
+
+
+def _prime_powers(top: int) -> list[int]:
+    """Prime powers up to ``top``."""
+    primes = [p for p in range(2, top + 1) if all(p % k for k in range(2, int(p**0.5) + 1))]
+    return sorted(p**e for p in primes for e in range(1, top.bit_length()) if p**e <= top)
 
 
-@F.pandas_udf(T.LongType())
-def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.gcd(a.to_numpy(dtype=np.int64), b.to_numpy(dtype=np.int64)))
+#: Divisors whose multiples are counted: prime powers up to a byte.
+DIVISORS = _prime_powers(255)
 
 
-def _reachable_steps(scaled: DataFrame, steps: DataFrame, min_overlap: float) -> DataFrame:
-    """Drop gaps that provably cannot hold ``min_overlap`` of the values.
+def _spacing() -> Column:
+    """Units between two values of the column's precision."""
+    return F.pow(F.lit(10.0), F.col("scale") - F.col("max_places"))
 
-    1. A grid of step ``s`` has at most ``range/s + 1`` places, none of which holds
-       more than the modal count.
-    2. Where only exact multiples count as aligned, at most ``(1 - min_overlap) * N``
-       distinct values are off the grid, so all but twice as many neighbour pairs have
-       both ends on it, and the step divides the common divisor of their offsets.
-       Counting pairs by the bit length of that divisor bounds the step. Scattered
-       values mostly have divisor 1, which leaves no step to try at all.
+
+def with_bounds(scaled: DataFrame, steps: DataFrame) -> DataFrame:
+    """Add ``bound``: no more rows than that can lie on the grid of a gap; and ``known``, the rows that do, where the counts tell.
+
+    1. A grid of step ``s`` has at most ``range / s + 1`` places, and a place at most the
+       values within its slack, each of them at most as often as the modal value.
+    2. Where only exact multiples count as aligned, the multiples of a gap are multiples of
+       every divisor of it. The rows at multiples of each prime power up to 255 are
+       counted in one pass, so a gap has no more rows than its rarest such divisor.
     """
     span = (F.col("v1") - F.col("v0")).cast("double") * F.pow(F.lit(10.0), F.col("scale"))
-    room = (span / F.col("step").cast("double") + 2.0) * F.col("modal_n")
-    kept = steps.where(room >= F.lit(min_overlap) * F.col("total"))
+    a_place = F.col("modal_n") * (F.floor(2 * F.col("slack") / _spacing()) + 1)
+    room = F.ceil((span / F.col("step").cast("double") + 2.0) * a_place)
+    exact = (F.col("step") < 1000000) & (F.col("scale") < 12) & (F.col("scale") <= F.col("max_places")) & ~F.col("wide")
     offset = (F.col("k") - _units_of_minimum()).cast("long")
-    pairs = (
-        _neighbours(scaled.where(~F.col("wide")))
-        .select(*KEYS, "total", offset.alias("offset"), (F.col("k") - F.col("_prev.k")).cast("long").alias("gap"))
-        .withColumn("bits", F.length(F.bin(_gcd("offset", "gap"))))
-        .groupBy(*KEYS, "total", "bits")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    from_top = Window.partitionBy(*KEYS).orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*KEYS)
-    needed = F.sum("n").over(whole) - 2.0 * (1.0 - min_overlap) * F.col("total") - 1e-6
-    bound = (
-        pairs.withColumn("ok", F.sum("n").over(from_top) >= needed)
+    multiples = (
+        scaled.where(~F.col("wide"))
+        .withColumn("_offset", offset)
         .groupBy(*KEYS)
-        .agg(F.coalesce(F.max(F.when(F.col("ok"), F.col("bits"))), F.lit(0)).alias("max_bits"))
-    )
-    exact_only = (
-        (F.col("step") < 1000000) & (F.col("scale") < 12) & (F.col("scale") - F.col("max_places") < 1) & ~F.col("wide")
+        .agg(F.array(*[F.sum(F.when(F.col("_offset") % d == 0, F.col("n")).otherwise(F.lit(0))) for d in DIVISORS]).alias("_multiples"))
     )
-    bits = F.length(F.bin(F.col("step").cast("long")))
-    return kept.join(bound, KEYS, "left").where(~exact_only | F.col("max_bits").isNull() | (bits <= F.col("max_bits"))).drop("max_bits")
+    held = F.zip_with("_multiples", F.array(*[F.lit(d) for d in DIVISORS]), lambda n, d: F.when(F.col("step").cast("long") % d == 0, n))
+    rarest = F.when(exact, F.array_min(held))
+    # the rarest prime power in a prime power is itself
+    known = F.when(F.col("step").isin(DIVISORS), rarest)
+    bounds = {"bound": F.least(F.col("total"), room.cast("long"), rarest), "known": known}
+    return steps.join(multiples, KEYS, "left").withColumns(bounds).drop("_multiples")
 
 
 def lattice_fit(scaled: DataFrame, min_overlap: float | None = None) -> DataFrame:
     """The gap on whose grid (from the minimum) most values lie.
 
-    Every distinct gap of at least 1.5 times the precision is tried against every
-    distinct value; with ``min_overlap``, gaps that cannot reach it are left out first.
-    Values carry a salt and the gaps are copied once per salt, so a very large column
-    is spread over many tasks.
+    Candidates are the distinct gaps of at least 1.5 times the precision. Branch and bound:
+    gaps whose bound (:func:`with_bounds`) is below the best known fit are left out; those
+    with the best bounds are tried against every distinct value, then the others whose
+    bound is not below the best fit found so far. ``min_overlap`` is a floor from the
+    start. Nothing else is left out, so the fit is exact.
     """
-    steps = step_candidates(scaled).where(
-        F.col("step").cast("double") >= MIN_STEP_TO_PRECISION * F.pow(F.lit(10.0), F.col("scale") - F.col("max_places"))
-    )
+    # tolerance: the largest of a quarter of the precision, a millionth of the step, 1e-12
+    quarter = F.floor(_spacing() / 4.0)
+    tiny = F.floor(F.pow(F.lit(10.0), F.col("scale") - 12))
+    slack = F.greatest(quarter, tiny, F.floor(F.col("step") / F.lit(1000000)).cast("long")).cast("long")
+    steps = step_candidates(scaled).where(F.col("step").cast("double") >= MIN_STEP_TO_PRECISION * _spacing())
+    steps = with_bounds(scaled, steps.withColumn("slack", slack))
     if min_overlap is not None:
-        steps = _reachable_steps(scaled, steps, min_overlap)
-    # read by three branches below; the gaps are few, the windows behind them are not cheap
-    steps = materialize(steps, "gaps")
-    # two hashes stand for the column key in the large join
+        steps = steps.where(F.col("bound") >= F.lit(min_overlap) * F.col("total") - 1e-6)
+    # two hashes stand for the column key in the large joins
     marks = [F.xxhash64(*KEYS, F.lit(seed)).alias(f"c{seed}") for seed in (1, 2)]
+    steps = steps.withColumn("_best", F.max("known").over(Window.partitionBy(*KEYS))).where(F.col("bound") >= F.coalesce("_best", F.lit(0)))
+    promising = Window.partitionBy(*KEYS).orderBy(F.desc("bound"), "step")
+    steps = steps.withColumn("_rank", F.row_number().over(promising)).select(*KEYS, *marks, "step", "slack", "bound", F.col("_rank") <= FIRST)
+    # read by several branches below; the gaps are few, the windows behind them are not cheap
+    steps = materialize(steps.toDF(*KEYS, "c1", "c2", "step", "slack", "bound", "first"), "gaps")
     offset = (F.col("k") - _units_of_minimum()).cast("decimal(38,0)")
     offsets = scaled.select(*marks, "n", "wide", "uniq", offset.alias("offset"))
-    # tolerance: the largest of a quarter of the precision, a millionth of the step, 1e-12
-    quarter = F.floor(F.pow(F.lit(10.0), F.col("scale") - F.col("max_places")) / 4.0)
-    tiny = F.floor(F.pow(F.lit(10.0), F.col("scale") - 12))
-    slack = F.greatest(quarter, tiny, F.floor(F.col("step") / F.lit(1000000)).cast("long")).cast("long")
-    tried = steps.select(*marks, "wide", "uniq", "step", slack.alias("slack"))
-    narrow = _fit_blocks(offsets.where(~F.col("wide")), tried.where(~F.col("wide")))
-    broad = _fit_wide(offsets.where("wide"), tried.where("wide"))
+    fits = materialize(_fit_blocks(offsets, steps.where("first")), "fits")
+    reached = fits.groupBy("c1", "c2").agg(F.max("aligned").alias("_reached"))
+    rest = materialize(steps.where(~F.col("first")).join(reached, ["c1", "c2"]).where(F.col("bound") >= F.col("_reached")).drop("_reached"), "gaps")
+    if not rest.isEmpty():
+        fits = fits.unionByName(_fit_blocks(offsets, rest))
     columns = scaled.select(*KEYS, "scale", "max_places", "total").distinct().select("*", *marks)
-    scored = (
-        narrow.unionByName(broad)
-        .join(columns, ["c1", "c2"])
-        .withColumn("residual", F.col("distance").cast("double") / F.col("total") / F.col("step").cast("double"))
+    scored = fits.join(columns, ["c1", "c2"]).withColumn(
+        "residual", F.col("distance").cast("double") / F.col("total") / F.col("step").cast("double")
     )
     best = F.max(F.struct("aligned", (-F.col("residual")).alias("neg_residual"), "step", "scale", "max_places"))
     unit = F.pow(F.lit(10.0), F.col("b.scale"))
@@ -321,22 +328,27 @@ def _units_of_minimum() -> Column:
 
 
 BLOCK = 512
-FIT = "c1 long, c2 long, step long, aligned long, distance long"
+FIT = "c1 long, c2 long, step decimal(38,0), aligned long, distance double"
 
 
 def _fit_arrays(batches):
     """Aligned weight and summed distance of a block of values for every gap of a block."""
     for batch in batches:
         parts = []
-        for c1, c2, offsets, ns, steps, slacks in batch.itertuples(index=False):
-            offsets, ns, steps, slacks = (np.asarray(a, dtype=np.int64) for a in (offsets, ns, steps, slacks))
+        for c1, c2, wide, offsets, ns, steps, slacks in batch.itertuples(index=False):
+            # units of more digits than a machine word holds are Python integers
+            kind = object if wide else np.int64
+            offsets, steps = (np.array([int(x) for x in a], dtype=kind) for a in (offsets, steps))
+            ns, slacks = np.asarray(ns, dtype=kind), np.asarray(slacks, dtype=kind)
             rest = offsets[None, :] % steps[:, None]
             distance = np.minimum(rest, steps[:, None] - rest)
             aligned = np.where(distance <= slacks[:, None], ns[None, :], 0).sum(axis=1)
             size = len(steps)
-            parts.append((np.full(size, c1), np.full(size, c2), steps, aligned, distance @ ns))
+            parts.append((np.full(size, c1), np.full(size, c2), [Decimal(int(s)) for s in steps], aligned, distance @ ns))
         if parts:
-            yield pd.DataFrame(dict(zip(("c1", "c2", "step", "aligned", "distance"), map(np.concatenate, zip(*parts)))))
+            c1, c2, steps, aligned, distance = zip(*parts)
+            flat = {"aligned": np.concatenate(aligned).astype(np.int64), "distance": np.concatenate(distance).astype(float)}
+            yield pd.DataFrame({"c1": np.concatenate(c1), "c2": np.concatenate(c2), "step": [s for part in steps for s in part], **flat})
 
 
 def _fit_blocks(values: DataFrame, steps: DataFrame) -> DataFrame:
@@ -347,44 +359,25 @@ def _fit_blocks(values: DataFrame, steps: DataFrame) -> DataFrame:
     very large column uses all of them.
     """
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = steps.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("gaps"))
-    step_blocks = F.ceil(F.col("gaps") / F.lit(BLOCK))
-    copies = F.least(F.lit(SALTS), step_blocks).cast("int")
+    gaps = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))
+    sizes = steps.groupBy("c1", "c2").agg(gaps.cast("int").alias("blocks"))
+    # units travel as texts, which hold any number of digits
+    value_block = F.pmod(F.xxhash64("offset"), F.ceil(F.col("uniq") / F.lit(BLOCK))).alias("b")
     left = (
-        values.groupBy("c1", "c2", F.pmod(F.xxhash64("offset"), F.ceil(F.col("uniq") / F.lit(BLOCK))).alias("b"))
-        .agg(F.collect_list(F.struct(F.col("offset").cast("long").alias("o"), "n")).alias("v"))
-        .join(sizes, ["c1", "c2"])
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+        values.join(sizes, ["c1", "c2"])
+        .groupBy("c1", "c2", "wide", "blocks", value_block)
+        .agg(F.collect_list(F.struct(F.col("offset").cast("string").alias("o"), "n")).alias("v"))
+        .withColumn("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     right = (
         steps.join(sizes, ["c1", "c2"])
-        .groupBy("c1", "c2", "gaps", F.pmod(F.xxhash64("step"), step_blocks).alias("b"))
-        .agg(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "slack")).alias("s"))
-        .select("c1", "c2", F.pmod(F.col("b"), copies).cast("int").alias("_salt"), "s")
+        .groupBy("c1", "c2", F.pmod(F.xxhash64("step"), F.col("blocks")).cast("int").alias("g"))
+        .agg(F.collect_list(F.struct(F.col("step").cast("string").alias("step"), "slack")).alias("s"))
     )
-    pairs = left.join(right, ["c1", "c2", "_salt"]).select("c1", "c2", "v.o", "v.n", "s.step", "s.slack")
+    pairs = left.join(right, ["c1", "c2", "g"]).select("c1", "c2", "wide", "v.o", "v.n", "s.step", "s.slack")
     return (
         pairs.repartition(tasks)
         .mapInPandas(_fit_arrays, FIT)
         .groupBy("c1", "c2", "step")
-        .agg(F.sum("aligned").alias("aligned"), F.sum("distance").cast("double").alias("distance"))
-        .withColumn("step", F.col("step").cast("decimal(38,0)"))
-    )
-
-
-def _fit_wide(values: DataFrame, steps: DataFrame) -> DataFrame:
-    """The same for columns whose units need more digits than a machine word holds."""
-    salt = F.pmod(F.xxhash64("offset"), F.lit(SALTS)).cast("int")
-    left = values.withColumn("_salt", salt)
-    right = steps.drop("wide", "uniq").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = F.pmod("offset", "step")
-    distance = F.least(rest, F.col("step") - rest)
-    return (
-        left.join(right, ["c1", "c2", "_salt"])
-        .groupBy("c1", "c2", "step")
-        .agg(
-            F.sum(F.when(distance <= F.col("slack"), F.col("n")).otherwise(F.lit(0).cast("long"))).alias("aligned"),
-            F.sum((distance * F.col("n")).cast("double")).alias("distance"),
-        )
-        .select("c1", "c2", F.col("step").cast("decimal(38,0)").alias("step"), "aligned", "distance")
+        .agg(F.sum("aligned").alias("aligned"), F.sum("distance").alias("distance"))
     )
