@@ -84,13 +84,16 @@ def with_edited(docs: DataFrame) -> DataFrame:
     their next document; as a next document the one with the smallest start stands for
     them. A null doc_id sorts below all others. No documents give no rows.
     """
-    # a null id is a key of its own; the same two columns key the joins and the grouping, so each side moves once
+    # a null id is a key of its own
     kind = docs.schema["doc_id"].dataType
     key = lambda c: (c.isNull(), F.coalesce(c, F.lit(0).cast(kind)))
     null, filled = key(F.col("doc_id"))
-    clean = docs.select("doc_id", null.alias("_null"), filled.alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # both joins below read these columns and no others, so they share one exchange of the texts
+    clean = docs.select(null.alias("_null"), filled.alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    doc_id = F.when(~F.col("_null"), F.col("_id"))
     third = F.floor(F.char_length("text") / 3).cast("int")
-    ids = row_chunks(clean.groupBy("doc_id").agg(F.max(third).alias("_third")), [], ["doc_id"])
+    thirds = docs.select("doc_id", F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 3).cast("int").alias("_third"))
+    ids = row_chunks(thirds.groupBy("doc_id").agg(F.max("_third").alias("_third")), [], ["doc_id"])
     ordered = ids.withColumn("_order", F.struct(F.col("doc_id").isNotNull(), "doc_id"))
     linked = with_previous(ordered, [], "_order", "_chunk", ["doc_id"], "_next")
     largest = F.lit(ids.agg(F.max("doc_id")).first()[0]).cast(kind)
@@ -99,7 +102,6 @@ def with_edited(docs: DataFrame) -> DataFrame:
     links = after.select(
         for_null.alias("_for_null"), for_id.alias("_for_id"), from_null.alias("_null"), from_id.alias("_id"), "_third"
     )
-    # both joins below read one exchange of the texts
     heads = (
         clean.join(links, ["_null", "_id"])
         .select(F.col("_for_null").alias("_null"), F.col("_for_id").alias("_id"), F.substring("text", F.lit(1), F.col("_third")).alias("head"), leaves_of(fingerprint_of(tree(F.col("text")))).alias("leaves"))
@@ -108,7 +110,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     )
     kept = F.substring("text", F.lit(1), F.char_length("text") - third)
     return clean.join(heads, ["_null", "_id"]).select(
-        "doc_id",
+        doc_id.alias("doc_id"),
         "text",
         F.concat(kept, F.substring(F.col("_head.head"), F.lit(1), third)).alias("edited"),
         F.col("_head.leaves").alias("next_leaves"),
