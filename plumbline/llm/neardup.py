@@ -3,9 +3,11 @@
 Every distinct shingle set gets ``TREES`` labels of ``DEPTH`` minimum hashes. A tree is the
 sorted order of its labels: sets that agree on a long prefix are neighbours. A prefix of
 ``START`` values opens a region; where a region is crowded, the sorted order itself goes
-deeper, as only neighbours by longest common prefix are compared. Candidates come in two
+deeper, as only neighbours by longest common prefix are compared. Candidates come in three
 rounds: first each set with the smallest id of its region, then the neighbours that are not
-yet in one component. Every link is confirmed on the full sets.
+yet in one component, last (:func:`crowd_links`) what these two leave in regions of more
+sets than a set has neighbours: an exact join on the rarest shingles. Every link is
+confirmed on the full sets, so two sets are missed only if no tree has them in one region.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from plumbline.session import materialize
 TREES, DEPTH, START = 12, 8, 3
 #: So many rows before a row in the sorted order of a tree are its neighbours.
 NEIGHBOURS = 4
+#: In the exact join, a shingle of more sets than this is worked on in blocks of sets.
+POSTINGS, BLOCK = 64, 256
+#: Copies of a shingle's count, so that a common shingle is no single key.
+SALTS = 8
 
 _draw = np.random.default_rng(41)
 _A = _draw.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -167,6 +173,86 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ready.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
+def _shingle_rows(batches):
+    """One row per shingle of a set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+            place = np.repeat(np.arange(part.num_rows), [len(x) for x in sets])
+            arrays = [part.column(c).take(pa.array(place)) for c in ("id", "comp", "n")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(sets))], names=["id", "comp", "n", "shingle"])
+
+
+def _block_links(percent: int):
+    def links(table: pa.Table) -> pa.Table:
+        """The linked pairs between two blocks of sets, or inside one, that are in different components."""
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        kinds, names = np.unique(np.concatenate(sets), return_inverse=True)
+        mark, out = np.zeros(len(kinds), bool), []
+        for i in np.flatnonzero(block == lo):
+            own = names[starts[i] : starts[i + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[names], starts[:-1], dtype=np.int64)
+            mark[own] = False
+            near = (100 * both >= percent * (sizes + sizes[i] - both)) & (comp != comp[i]) & (block == hi)
+            out += [(ids[i], ids[j]) for j in np.flatnonzero(near)]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def crowd_links(forest: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that leaders and neighbours can have missed: between components that share a crowded region.
+
+    A region with no more than ``NEIGHBOURS`` + 1 sets has had all its pairs compared. The
+    sets of the others are joined exactly by prefixes: put the shingles of a set in order
+    of how many sets hold them; of two sets that overlap by ``percent``, the first
+    ``n - ceil(percent * n / 100) + 1`` shingles of each have one in common. A shingle of up
+    to ``POSTINGS`` sets gives their pairs; the sets of a commoner one are compared block by
+    block, which emits links only.
+    """
+    comp = F.coalesce("component", "id")
+    region = F.xxhash64(F.substring("label", 1, 4 * START))
+    rows = forest.select("tree", region.alias("region"), "id").join(grouped, "id", "left").select("tree", "region", "id", comp.alias("comp"))
+    open_ones = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_ones = open_ones.where((F.col("n") > NEIGHBOURS + 1) & (F.col("lo") != F.col("hi"))).select("tree", "region")
+    ids = rows.join(open_ones.hint("merge"), ["tree", "region"]).select("id", "comp").distinct()
+    crowd = sets.join(ids.hint("merge"), "id").select("id", "comp", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
+    crowd = materialize(crowd, "crowd")
+
+    every = crowd.mapInArrow(_shingle_rows, "id long, comp long, n long, shingle long")
+    shared = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = every.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(shared.hint("merge"), ["shingle", "_salt"], "left")
+    # a shingle of one set takes its place in the order, but finds nobody
+    alone = F.count_if(F.col("held").isNull())
+    held = counted.groupBy("id", "comp", "n").agg(alone.alias("alone"), F.sort_array(F.collect_list(F.when(F.col("held").isNotNull(), F.struct("held", "shingle")))).alias("_held"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    firsts = held.where(prefix > 0).select("id", "comp", "n", F.explode(F.slice("_held", F.lit(1), prefix.cast("int"))).alias("_s"))
+    firsts = materialize(firsts.select("id", "comp", "n", "_s.held", "_s.shingle"), "prefixes")
+
+    rare = firsts.where(F.col("held") <= POSTINGS).groupBy("shingle").agg(F.collect_list(F.struct("id", "comp", "n")).alias("_all"))
+    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    pairs = rare.select("_all", F.explode("_all").alias("x")).select(
+        F.col("x.id").alias("a"),
+        F.explode(F.filter("_all", lambda y: (y["id"] < F.col("x.id")) & (y["comp"] != F.col("x.comp")) & fits(F.col("x"), y))).alias("y"),
+    )
+    found = confirm(pairs.select("a", F.col("y.id").alias("b")), sets, percent)
+
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    hot = firsts.where(F.col("held") > POSTINGS).select("shingle", "id", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    hot = hot.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).join(crowd.select("id", "comp", "shingles").hint("merge"), "id")
+    dense = hot.groupBy("shingle", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
+    return found.unionByName(dense).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id (an integer), n_shingles, component_id, kept.
 
@@ -210,8 +296,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     more = materialize(confirm(open_pairs.select("a", "b"), sets, percent), "confirmed")
     # components of the first round are one link each to their smallest id, so few rounds follow
-    stars = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    grouped = components(stars.unionByName(more)).withColumnRenamed("id", "rep")
+    stars = lambda grouped: grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    grouped = materialize(components(stars(grouped).unionByName(more)), "grouped")
+    last = materialize(crowd_links(forest, grouped, sets, percent), "confirmed")
+    grouped = components(stars(grouped).unionByName(last)).withColumnRenamed("id", "rep")
 
     named = known.drop("labels").join(classes, name, "left").join(grouped, "rep", "left")
     kind = docs.schema["doc_id"].dataType
