@@ -33,10 +33,11 @@ STOP_WORDS = frozenset(
     """.split()
 )
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math iframe object video audio canvas textarea select".split())
+DROPPED = frozenset("script style noscript template svg iframe object video audio canvas textarea select".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset label option head title datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 #: Words of class and id that name a part beside the article.
@@ -49,6 +50,12 @@ PARTS = frozenset(
     pagination pager search toolbar copyright disclaimer teaser teasers trending paywall
     """.split()
 )
+#: Of these names, the ones that also count at the end of a longer name inside the article.
+COMMENT_PARTS = frozenset("comment comments commentlist replies discussion".split())
+#: Names that begin so state something about their element instead of naming a part.
+STATES = frozenset("has with without no not is show hide".split())
+#: Elements whose class and id say nothing about a part.
+WHOLE = frozenset("html body article main".split())
 #: These name a title block when they stand inside the article.
 TOP_PARTS = frozenset(("header", "top"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,6 +78,20 @@ ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in DROPPED}
 GOOD, BAD, SHORT_OPEN, LONG_OPEN = "good", "bad", "short", "near"
 
 
+def _names_part(name: str, inside: bool) -> bool:
+    """Whether one class or id names a part beside the article.
+
+    A longer name counts by its first word (``comment-list``), and by its last one outside
+    the article (``site-footer``); words in between, as in ``x-widget-text``, do not count.
+    """
+    words = [w.lower() for w in NAME_PART.findall(name)]
+    if not words or words[0] in STATES:
+        return False
+    if words[0] in PARTS or words[-1] in (COMMENT_PARTS if inside else PARTS):
+        return True
+    return not inside and (words[0] in TOP_PARTS or words[-1] in TOP_PARTS)
+
+
 def _is_part(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element is a part beside the article."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
@@ -80,8 +101,7 @@ def _is_part(tag: str, attrs: str, inside: bool) -> bool:
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in NAME_PART.findall(value)}
-            if words & PARTS or (words & TOP_PARTS and not inside):
+            if tag not in WHOLE and any(_names_part(v, inside) for v in value.split()):
                 return True
         elif name == "role" and value.lower() in ROLES:
             return True
@@ -164,7 +184,7 @@ def first_pass(found: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
     labels = []
     for text, linked, beside, inside, _ in found:
         density = linked / len(text)
-        if beside or (has_main and not inside) or "©" in text:
+        if beside or (has_main and not inside) or ("©" in text and not inside and len(text) < LONG):
             labels.append(BAD)
         elif density > (LINKS_INSIDE if inside else LINKS_OUTSIDE):
             labels.append(BAD)

@@ -356,6 +356,26 @@ OTHER_PAGES = [
 ]
 
 
+#: Whole pages whose classes or signs say nothing against their article.
+KEPT_PAGES = [
+    f"<article class='post has-share'><p>{GOOD}</p></article>",
+    f"<body class='has-sidebar'><div>{GOOD}</div></body>",
+    f"<body class='sidebar'><div class='with-sidebar no-menu'>{GOOD}</div></body>",
+    f"<article><div class='elementor-widget-text'><p>{GOOD}</p></div></article>",
+    f"<main id='comments'><p>{GOOD}</p><div class='post-comments'>Well said!</div></main>",
+]
+
+
+@pytest.mark.parametrize("page", KEPT_PAGES)
+def test_names_that_do_not_drop_an_article(page):
+    assert extract.main_text(page) == GOOD.strip()
+
+
+def test_signs_and_formulas_stay_in_the_article():
+    page = f"<article><p>© {GOOD}</p><p>As <math><mi>a</mi><mo>=</mo><mn>2</mn></math> shows, {GOOD}</p></article><p>© 2020 us</p>"
+    assert extract.main_text(page) == f"© {GOOD.strip()} As a=2 shows, {GOOD.strip()}"
+
+
 @pytest.mark.parametrize("page", OTHER_PAGES)
 def test_other_layouts(page):
     text = extract.main_text(page).removeprefix("Title ")
