@@ -21,8 +21,8 @@ from plumbline.session import materialize
 
 #: Products summed in float32 at once, and the bound of primes this allows: DEPTH * (LIMIT / 2)**2 <= 2**24.
 DEPTH, LIMIT = 64, 1024
-#: Anchors of a block, rows of a slab, and scores held at once.
-BLOCK, SLAB, CELLS = 32768, 65536, 1 << 21
+#: Anchors of a block, rows of a slab, at most and at least about, and scores held at once.
+BLOCK, SLAB, LEAST, CELLS = 32768, 65536, 4096, 1 << 21
 POSITIVES, NEGATIVES = 5, 10
 #: A negative scores between these percentages of its positive.
 LOW, HIGH = 30, 90
@@ -192,7 +192,8 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     rows = materialize(usable(vectors), "vectors")
     is_anchor = F.col("vec_id") % 100 == 0
     n, n_anchors, width = rows.agg(F.count(F.lit(1)), F.count_if(is_anchor), F.max(F.size("embedding"))).first()
-    slabs = max(-(-n // SLAB), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a slab for each task, but none so small that most of its rows are wanted
+    slabs = max(1, -(-n // SLAB), min(n // LEAST, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks, width = max(1, -(-n_anchors // BLOCK)), width or 0
     # fresh column names, as both sides of the joins below come from one table
     anchors = rows.where(is_anchor).select(*[F.col(c).alias(c) for c in rows.columns], spread("block", blocks).alias("_block"))

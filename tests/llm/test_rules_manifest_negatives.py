@@ -196,6 +196,7 @@ def vectors(spark, rows):
 @pytest.mark.parametrize("width", [3, 64, 200])
 def test_negatives_equal_brute_force(spark, width, monkeypatch):
     monkeypatch.setattr(negatives, "BLOCK", 3)
+    monkeypatch.setattr(negatives, "LEAST", 20)
     monkeypatch.setattr(negatives, "CELLS", 50)
     draw = np.random.default_rng(width)
     centres = draw.normal(size=(5, width))
