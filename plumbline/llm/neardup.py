@@ -215,7 +215,7 @@ def crowd_links(forest: DataFrame, grouped: DataFrame, sets: DataFrame, percent:
     of how many sets hold them; of two sets that overlap by ``percent``, the first
     ``n - ceil(percent * n / 100) + 1`` shingles of each have one in common. A shingle of up
     to ``POSTINGS`` sets gives their pairs; the sets of a commoner one are compared block by
-    block, which emits links only.
+    block across components, which emits links only.
     """
     comp = F.coalesce("component", "id")
     region = F.xxhash64(F.substring("label", 1, 4 * START))
@@ -245,9 +245,17 @@ def crowd_links(forest: DataFrame, grouped: DataFrame, sets: DataFrame, percent:
     )
     found = confirm(pairs.select("a", F.col("y.id").alias("b")), sets, percent)
 
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    hot = firsts.where(F.col("held") > POSTINGS).select("shingle", "id", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    # sets of one component need no comparison: those of a shingle's largest component stand in
+    # blocks of their own, which meet the blocks of the others only
+    hot = firsts.where(F.col("held") > POSTINGS).select("shingle", "id", "comp")
+    parts = hot.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    major = parts.groupBy("shingle").agg(F.max_by("comp", "n").alias("major"), blocks(F.max("n")).alias("_many"), blocks(F.sum("n") - F.max("n")).alias("_few"))
+    hot = hot.join(major.where(F.col("_few") > 0), "shingle")
+    few = F.col("comp") != F.col("major")
+    mine = F.pmod(F.xxhash64("id"), F.when(few, F.col("_few")).otherwise(F.col("_many"))).cast("int") + F.when(few, 0).otherwise(F.col("_few"))
+    others = F.sequence(F.lit(0), F.col("_few") - 1 + F.when(few, F.col("_many")).otherwise(0))
+    hot = hot.select("shingle", "id", mine.alias("block"), F.explode(others).alias("other"))
     hot = hot.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).join(crowd.select("id", "comp", "shingles").hint("merge"), "id")
     dense = hot.groupBy("shingle", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
     return found.unionByName(dense).distinct()
