@@ -79,6 +79,21 @@ def eqe_reported_query(spark, sf):
     return r.select("curve_id", "reported_jsc", "reported_rows")
 
 
+def jv_ranges_query(spark, sf):
+    """Sweeps whose reported values lie outside the tolerances, as ranges."""
+    r = C.outside_tolerance(C.jv_metrics(sweep_points(spark, sf)), reported_rows(spark, sf), C.TOLERANCES)
+    return r.select("curve_id", "metric", *RANGE_COLUMNS)
+
+
+def eqe_ranges_query(spark, sf):
+    e = C.eqe_integration(spectrum_points(spark, sf), R.builtin_reference(spark)).withColumnRenamed("integrated_jsc_ma_cm2", "eqe_jsc_ma_cm2")
+    r = C.outside_tolerance(e, reported_rows(spark, sf), C.EQE_TOLERANCE)
+    return r.select("curve_id", "metric", *RANGE_COLUMNS)
+
+
+RANGE_COLUMNS = ["below", "below_least", "below_most", "above", "above_least", "above_most"]
+
+
 def eqe_jv_query(spark, sf):
     e = C.eqe_integration(spectrum_points(spark, sf), R.builtin_reference(spark))
     r = C.reconcile_eqe_jv(e, C.jv_metrics(sweep_points(spark, sf)))
@@ -180,6 +195,8 @@ QUERIES = {
     "reconcile_jv_reported": jv_reported_query,
     "reconcile_eqe_reported": eqe_reported_query,
     "reconcile_eqe_jv": eqe_jv_query,
+    "outside_tolerance_jv": jv_ranges_query,
+    "outside_tolerance_eqe": eqe_ranges_query,
     "decay_fit_consistency": decay_query,
     "read_jv_points": read_jv_query,
     "read_eqe_points": read_eqe_query,
@@ -222,6 +239,9 @@ _WARN = """concat_ws(';', case when n_points<5 then 'too few points' end, case w
    case when j0 is null then 'no voltage zero crossing' end, case when v0 is null then 'no current zero crossing' end, case when diode then 'sign convention inferred' end,
    case when pmp<=0 then 'no generated power' end, case when voc>3 or jsc>100 or ff>1 or pce>50 then 'unrealistic metric' end)"""
 
+_RANGES = """ select curve_id, metric, count(*) filter (r<lo) below, min(r) filter (r<lo) below_least, max(r) filter (r<lo) below_most,
+      count(*) filter (r>hi) above, min(r) filter (r>hi) above_least, max(r) filter (r>hi) above_most from x group by all having below+above>0"""
+
 ORACLES = {
     "jv_metrics": f"""with {METRICS_SQL} select curve_id, device_id, n_points, round(jsc,6) jsc_ma_cm2, round(voc,6) voc_v, round(vmp,6) vmp_v, round(jmp,6) jmp_ma_cm2,
       round(pmp,6) pmp_mw_cm2, round(ff,6) ff, round(pce,6) pce_percent, {_WARN} warnings from m""",
@@ -241,6 +261,13 @@ ORACLES = {
       select curve_id, v reported_voc_v, j reported_jsc_ma_cm2, f reported_ff, p reported_pce_percent, n reported_rows, mismatches from x where mismatches<>''""",
     "reconcile_eqe_reported": f"""with {EQE_SQL}, {REPORTED_SQL}, g as (select device, e, count(*) n from rep group by all)
       select curve_id, e reported_jsc, n reported_rows from er join g on g.device=er.device_id where er.device_id<>'unknown' and abs(jsc-e)>1.0 and abs(jsc-e)/e>0.10""",
+    "outside_tolerance_jv": f"""with {METRICS_SQL}, {REPORTED_SQL}, k as (select curve_id, lower(device_id) device, unnest(['voc_v', 'jsc_ma_cm2', 'ff', 'pce_percent']) metric,
+        unnest([voc-0.02e0, least(jsc-0.5e0, jsc/1.03e0), ff-0.03e0, least(pce-0.5e0, pce/1.05e0)]) lo,
+        unnest([voc+0.02e0, greatest(jsc+0.5e0, jsc/0.97e0), ff+0.03e0, greatest(pce+0.5e0, pce/0.95e0)]) hi from m where device_id<>'unknown'),
+      g as (select device, unnest(['voc_v', 'jsc_ma_cm2', 'ff', 'pce_percent']) metric, unnest([v, j, f, p]) r from rep),
+      x as (select * from k join g using (device, metric)) {_RANGES}""",
+    "outside_tolerance_eqe": f"""with {EQE_SQL}, {REPORTED_SQL},
+      x as (select curve_id, 'eqe_jsc_ma_cm2' metric, least(jsc-1e0, jsc/1.1e0) lo, greatest(jsc+1e0, jsc/0.9e0) hi, e r from er join rep on rep.device=er.device_id where er.device_id<>'unknown') {_RANGES}""",
     "reconcile_eqe_jv": f"""with {EQE_SQL}, {METRICS_SQL.replace(" p as ", " p as ", 1)}, l as (select device_id, arg_max(curve_id, source_file || chr(1) || curve_id) c, arg_max(jsc, source_file || chr(1) || curve_id) j from m where device_id<>'unknown' group by 1)
       select curve_id, c jv_curve, round(abs(j-jsc)/j, 6) relative_gap from er join l using (device_id) where abs(j-jsc)/j>0.10 and abs(j-jsc)>1.0""",
     "decay_fit_consistency": """with r as (select 'r' || lpad(o_orderkey::varchar, 9, '0') id, o_orderkey k, case when o_orderkey%2=0 then 'trpl' else 'tpv' end dt, o_custkey%200 s, o_custkey%3 v,

@@ -204,3 +204,33 @@ def test_formula_recompute(spark):
     df = spark.createDataFrame(data, "workbook string, sheet string, row long, col int, formula string, value string")
     got = {r.row: r.recomputed for r in R.formula_recompute(df).collect()}
     assert got == {3: 2.0, 6: -5.0, 8: 6.0}
+
+
+def test_ranges_outside_tolerance_equal_all_pairs(spark, monkeypatch):
+    """Counts and ends equal a comparison of every pair; one device holds most rows, spread over chunks."""
+    rng = random.Random(8)
+    device = lambda: rng.choice([" Dev1", "dev1", "dev1", "dev2", "unknown", None, "dev3"])
+    value = lambda scale: rng.choice([None, 0.0, -1.0, *[round(rng.uniform(0, scale), 1) for _ in range(9)]])
+    names = list(C.TOLERANCES)
+    scales = [1.5, 30.0, 1.0, 25.0]
+    measured = [(f"c{i}", device(), *[None if rng.random() < 0.1 else round(rng.uniform(0, s), 1) for s in scales]) for i in range(60)]
+    reported = [(device(), *[value(s) for s in scales]) for _ in range(200)]
+    schema = "device_id string, " + ", ".join(f"{n} double" for n in names)
+    got = C.outside_tolerance(spark.createDataFrame(measured, "curve_id string, " + schema), spark.createDataFrame(reported, schema), C.TOLERANCES)
+    got = {(r.curve_id, r.metric): (r.below, r.below_least, r.below_most, r.above, r.above_least, r.above_most) for r in got.collect()}
+    expected = {}
+    for curve, dev, *values in measured:
+        if dev in (None, "unknown"):
+            continue
+        for name, m, k in zip(names, values, range(4)):
+            if m is None:
+                continue
+            fixed, share = C.TOLERANCES[name]
+            same = [r[k + 1] for r in reported if r[0] not in (None, "unknown") and r[0].strip().lower() == dev.strip().lower() and r[k + 1] is not None]
+            same = [r for r in same if share is None or r > 0]
+            below = [r for r in same if r < (min(m - fixed, m / (1 + share)) if share else m - fixed)]
+            above = [r for r in same if r > (max(m + fixed, m / (1 - share)) if share else m + fixed)]
+            if below or above:
+                ends = lambda part: (len(part), min(part, default=None), max(part, default=None))
+                expected[curve, name] = (*ends(below), *ends(above))
+    assert got == expected and len(got) > 100
