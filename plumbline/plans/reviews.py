@@ -55,47 +55,72 @@ def raw_pv_review(points: DataFrame, spectra: DataFrame, reference: DataFrame, r
     )
 
 
+def module_counts(parts: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """``package_id, module, status, input_rows, findings`` for every package and module.
+
+    ``parts``: name, input and findings of each module that ran. A module that had no rows
+    of a package is skipped there; one that found nothing is a success. Inputs without a
+    package count for the package without a name.
+    """
+
+    def per_package(name: str, df: DataFrame, column: str) -> DataFrame:
+        package = F.coalesce("package_id", F.lit("")) if "package_id" in df.columns else F.lit("")
+        counted = df.groupBy(package.alias("package_id")).agg(F.count(F.lit(1)).alias("_n"))
+        own = lambda c: F.when(F.lit(c == column), F.col("_n")).otherwise(F.lit(0).cast("long")).alias(c)
+        return counted.select("package_id", F.lit(name).alias("module"), own("input_rows"), own("findings"))
+
+    counts = reduce(
+        DataFrame.unionByName,
+        [per_package(name, df, column) for name, given, found in parts for df, column in ((given, "input_rows"), (found, "findings"))],
+    )
+    names = F.array(*[F.lit(name) for name, _, _ in parts])
+    none = F.lit(0).cast("long")
+    every = counts.select("package_id").distinct().select("package_id", F.explode(names).alias("module"))
+    every = every.select("*", none.alias("input_rows"), none.alias("findings"))
+    summed = counts.unionByName(every).groupBy("package_id", "module").agg(F.sum("input_rows").alias("input_rows"), F.sum("findings").alias("findings"))
+    ran = F.col("input_rows") + F.col("findings") > 0
+    return summed.select("package_id", "module", F.when(ran, "success").otherwise("skipped").alias("status"), "input_rows", "findings")
+
+
 def review_packages(inputs: Mapping[str, DataFrame], version_events: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All checks whose inputs are given, as one ledger with its issues, scores and summary.
+    """All checks whose inputs are given, as one ledger with its issues, scores, summary and module status.
 
-    Keys of ``inputs``: ``cells``, ``pv_cells``, ``references`` and ``works``, ``claims``,
-    ``images``, ``curve_specs`` with ``curve_source`` and ``curve_plot``, ``ledgers``.
+    Keys of ``inputs``: ``cells``, ``pv_cells``, ``references``, ``dois`` (both with
+    ``works``), ``claims``, ``images`` (files), ``image_hashes``, ``curve_specs`` with
+    ``curve_source`` and ``curve_plot``, ``raw_curves`` with ``raw_spectra``, ``spectrum``
+    and ``reported``, ``ledgers``. Numbers that the exact checks cannot read are reported
+    with the tables.
     """
-    parts: list[tuple[str, DataFrame]] = []
-    if "images" in inputs:
-        parts.append(("images", images.duplicate_findings(inputs["images"])))
-    if "cells" in inputs:
-        parts.append(("tables", table_review(inputs["cells"])))
-    if "pv_cells" in inputs:
-        parts.append(("pv", pv_review(inputs["pv_cells"])))
-    if "references" in inputs:
-        parts.append(("references", bibliography.reference_scan(inputs["references"], inputs["works"])))
-    if "claims" in inputs:
-        parts.append(("claims", claims.cross_document_claims(inputs["claims"])))
-    if "curve_specs" in inputs:
-        questions, _ = curve_compare.curve_point_coverage(inputs["curve_specs"], inputs["curve_source"], inputs["curve_plot"])
-        parts.append(("curves", curve_compare.coverage_findings(questions)))
-    if "ledgers" in inputs:
-        parts.append(("ledgers", inputs["ledgers"]))
-    if not parts:
+    found: list[tuple[str, DataFrame, DataFrame]] = []
+
+    def add(name: str, key: str, make) -> None:
+        if key in inputs:
+            found.append((name, inputs[key], make(inputs[key])))
+
+    def curve_questions(specs: DataFrame) -> DataFrame:
+        questions, _ = curve_compare.curve_point_coverage(specs, inputs["curve_source"], inputs["curve_plot"])
+        return curve_compare.coverage_findings(questions)
+
+    add("images", "images", images.duplicate_findings)
+    add("image_similarity", "image_hashes", lambda df: images.similarity_findings(images.hash_similarity_pairs(df).where(F.col("distance") > 0)))
+    add("tables", "cells", lambda df: table_review(df).unionByName(numeric.precision_overflow_findings(df)))
+    add("pv", "pv_cells", pv_review)
+    add("raw_curves", "raw_curves", lambda df: raw_pv_review(df, inputs["raw_spectra"], inputs["spectrum"], inputs["reported"]))
+    add("references", "references", lambda df: bibliography.reference_scan(df, inputs["works"]))
+    add("publication_status", "dois", lambda df: bibliography.status_findings(bibliography.publication_status(df, inputs["works"])))
+    add("claims", "claims", claims.cross_document_claims)
+    add("curves", "curve_specs", curve_questions)
+    add("ledgers", "ledgers", lambda df: df)
+    if not found:
         raise ValueError("no input given")
     # findings are few next to their inputs; written once, no check runs again for another output
-    parts = [(name, materialize(df, name)) for name, df in parts]
-    unified = materialize(ledger.unify_findings(*[df for _, df in parts]), "unified")
+    parts = [(name, given, materialize(df, name)) for name, given, df in found]
+    unified = materialize(ledger.unify_findings(*[df for _, _, df in parts]), "unified")
     effective = versions.reconcile_versions(unified, version_events) if version_events is not None else unified
-    counts = reduce(
-        DataFrame.unionByName,
-        [
-            df.groupBy(F.coalesce("package_id", F.lit("")).alias("package_id"))
-            .agg(F.count(F.lit(1)).alias("findings"))
-            .select("package_id", F.lit(name).alias("module"), F.lit("success").alias("status"), F.col("findings").alias("input_rows"), "findings")
-            for name, df in parts
-        ],
-    )
     return {
         "ledger": effective,
         "issues": ledger.validate_ledger(unified),
         "scores": ledger.mrpi(effective),
         "summary": ledger.findings_summary(effective),
-        "modules": ledger.module_status(counts),
+        "modules": ledger.module_status(module_counts(parts)),
     }
