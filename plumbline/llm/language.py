@@ -33,7 +33,6 @@ ERROR = 0.01
 UNKNOWN = "und"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_LETTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = np.arange(256, dtype=np.uint8)
 _ONLY_LETTERS[:128] = 32
 _ONLY_LETTERS[97:123] = np.arange(97, 123)
@@ -42,7 +41,7 @@ _ONLY_LETTERS[65:91] = np.arange(97, 123)
 
 def has_letter(text: bytes) -> bool:
     """Whether the text holds a letter of any script."""
-    return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and bool(_LETTER.search(text.decode("utf-8", "replace"))))
+    return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
 def histograms(texts: list[bytes]):

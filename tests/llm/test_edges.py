@@ -130,3 +130,8 @@ def test_empty_tables(docs, labels):
         neardup.near_duplicates(none),
     ]
     assert all(r.count() == 0 for r in results)
+
+
+def test_letters_are_those_of_the_letter_categories():
+    assert not any(language.has_letter(t.encode()) for t in ("", "12 ²½①", "٣ _ – 😀", "ⅷ"))
+    assert all(language.has_letter(t.encode()) for t in ("a", "1é", "²ß", "日", "ª"))
