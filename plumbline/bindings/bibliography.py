@@ -269,6 +269,20 @@ def delimited_query(spark, sf):
     )
 
 
+def spanning_query(spark, sf):
+    """Documents written as CSV files whose quoted cells hold quotes, separators, blank lines and line breaks, read back as cells."""
+    path = scratch_path(spark, "spanning")
+    note = F.concat(F.lit('note "'), F.col("doc_id").cast("string"), F.lit('",\n\n'), F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select("doc_id", note.alias("body"), F.lit("end").alias("last"))
+    d.write.option("header", "true").option("escape", '"').csv(path)
+    cells, warnings = read_delimited_cells(spark, path)
+    letters = F.regexp_replace("value", r"\s", "")
+    read = cells.where("column_name = 'body'").select(F.md5(letters.cast("binary")).alias("digest"), F.length(letters).cast("long").alias("letters"))
+    return read.groupBy("digest", "letters").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        warnings.select(F.col("message").alias("digest"), F.lit(0).cast("long").alias("letters"), F.lit(1).cast("long").alias("n"))
+    )
+
+
 def markdown_query(spark, sf):
     """One Markdown table per nation with its suppliers, read back as cells."""
     row = F.concat(F.lit("| "), F.col("s_suppkey").cast("string"), F.lit(" | "), "s_name", F.when(F.col("s_suppkey") % 4 == 0, " |").otherwise(F.concat(F.lit(" | "), F.col("s_acctbal").cast("string"), F.lit(" |"))))
@@ -301,6 +315,7 @@ QUERIES = {
     "read_literature_ris": ris_query,
     "read_literature_bibtex": bibtex_query,
     "read_delimited_cells": delimited_query,
+    "read_spanning_cells": spanning_query,
     "read_markdown_cells": markdown_query,
 }
 
@@ -359,6 +374,8 @@ ORACLES = {
       union all select 'p_retailprice', 2, p_retailprice::varchar from part union all select 'quoted', 3, 'a "b", ' || p_brand from part
       union all select 'o_orderkey', 0, o_orderkey::varchar from orders union all select 'o_totalprice', 1, o_totalprice::varchar from orders)
       select column_name, col_index, count(*) n, count(distinct v) distinct_values, max(v) top, round(sum(try_cast(v as double)), 2) total from c group by all""",
+    "read_spanning_cells": r"""with d as (select regexp_replace('note "' || doc_id || '",' || coalesce(text, ''), '\s', '', 'g') t from documents)
+      select md5(t) digest, length(t)::bigint letters, count(*) n from d group by all""",
     "read_markdown_cells": """with c as (select s_nationkey, row_number() over (partition by s_nationkey order by s_suppkey) rn, s_suppkey::varchar a, s_name b,
        case when s_suppkey%4=0 then '' else s_acctbal::varchar end c from supplier),
       l as (select 'key' column_name, a v, rn from c union all select 'name', b, rn from c union all select 'balance', c, rn from c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,13 @@ from pyspark.sql import types as T
 
 from plumbline.schemas import CELLS
 from plumbline.sources.lines import file_name, numbered_lines
+from plumbline.sources.records import delimited_records
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _split_record(line: pd.Series, tab: pd.Series) -> pd.Series:
-    """Cells of one record, quoted as in spreadsheets."""
+    """Cells of one record, quoted as in spreadsheets; a cell may have any length."""
+    csv.field_size_limit(sys.maxsize)
     return pd.Series(
         [[c.strip() for c in next(csv.reader([t], delimiter="\t" if is_tab else ","), [])] for t, is_tab in zip(line, tab)]
     )
@@ -50,12 +53,12 @@ def _as_cells(rows: DataFrame, headers: DataFrame, package: str) -> DataFrame:
 def read_delimited_cells(spark: SparkSession, paths: str | list[str], package_id: str = "") -> tuple[DataFrame, DataFrame]:
     """(cells, warnings) of CSV and TSV files.
 
-    The first non-blank line is the header; a header cell belongs to its column by
-    place. Large files are read in splits, line by line, so one file may be far larger
-    than a task.
+    The first non-blank record is the header; a header cell belongs to its column by
+    place. A quoted cell may hold line breaks. Large files are read in splits, so one file
+    may be far larger than a task.
     """
-    lines = numbered_lines(spark, paths, keep_blank=False, glob="*.{csv,tsv,CSV,TSV}")
     tab = F.lower("path").endswith(".tsv")
+    lines, unclosed = delimited_records(spark, paths, "*.{csv,tsv,CSV,TSV}", tab)
     headers = lines.where(F.col("line_number") == 1).select(
         "path", split_delimited(F.regexp_replace("line", "^﻿", ""), tab).alias("header"), "latin1"
     )
@@ -66,7 +69,8 @@ def read_delimited_cells(spark: SparkSession, paths: str | list[str], package_id
     warnings = headers.where("latin1").select(
         file_name().alias("source_file"), F.lit("not valid UTF-8; read as Latin-1").alias("message")
     )
-    return cells, warnings.unionByName(_empty_files(spark, paths, headers))
+    stray = unclosed.select(file_name().alias("source_file"), F.lit("a quoted cell is never closed; its lines are read one by one").alias("message"))
+    return cells, warnings.unionByName(stray).unionByName(_empty_files(spark, paths, headers))
 
 
 def _empty_files(spark: SparkSession, paths, headers: DataFrame) -> DataFrame:
