@@ -339,8 +339,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = _buckets(spark, parts)
-    last = F.lit((1 << 63) - 1)
-    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), "text")
+    # rows without an id come last, each text at a place of its own
+    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), by_text).alias("doc"), "text")
     packed = named.select("doc", "text").mapInArrow(lambda b: parse(b, buckets), PACKED)
     outcome = materialize(_resolved(packed, parts, _resolve_phrases), "phrases")
     asked = _by_text(outcome.where("ask"))
@@ -356,8 +357,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte is removed if a string of ``LENGTH`` bytes that covers it also starts earlier:
     in a document with a smaller doc_id, or earlier in the same one. Strings are judged on
-    the input. A null text is empty. A null doc_id comes after all others. Rows with one
-    doc_id are versions of one document: a string at one place in several of them stands
+    the input. A null text is empty. Rows without a doc_id come after all others (ids below
+    2**62), ordered by a hash of their texts; equal texts among them are one document. Rows
+    with one doc_id are versions of one document: a string at one place in several of them stands
     there once, and a place where a repeat starts in one of them counts for all. Other
     columns of ``docs`` are ignored. No documents give no rows.
     """

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from plumbline.llm import decontaminate, dedup, extract, language, merkle, mixing, neardup, quality, secrets, toxicity
@@ -135,3 +136,17 @@ def test_empty_tables(docs, labels):
 def test_letters_are_those_of_the_letter_categories():
     assert not any(language.has_letter(t.encode()) for t in ("", "12 ²½①", "٣ _ – 😀", "ⅷ"))
     assert all(language.has_letter(t.encode()) for t in ("a", "1é", "²ß", "日", "ª"))
+
+
+def test_dedup_of_rows_without_an_id(spark):
+    """A repeat in one text without an id cuts nothing from the others."""
+    draw = np.random.default_rng(8)
+
+    def fresh(n):
+        return "".join(chr(97 + c) for c in draw.integers(0, 26, n))
+
+    shared, other = fresh(150), fresh(350)
+    rows = [(1, shared), (None, shared + fresh(200)), (None, other), (None, other), (None, None), (2, "x" + other[:120])]
+    got = dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got)
+    assert seen == [(0, 0, 0, 0), (0, 350, 120, 1), (0, 350, 120, 1), (0, 350, 150, 1), (1, 150, 0, 0), (2, 121, 0, 0)]
