@@ -1,11 +1,13 @@
 """Toxicity by two class-conditional Kneser-Ney models that share their backoff counts.
 
-Both models are bigram models over case-folded words: discounted class counts of bigrams
-back off to discounted class counts of words, and these to one distribution for both: in
-how many documents of the whole corpus a word stands. A rare expression that neither class
-has seen thus weighs the same in both. The score of a text compares its two
-log-likelihoods per word. Both discounts are larger than usual: what fewer occurrences
-show is left to the shared counts.
+Both models are interpolated bigram models over case-folded words, with modified Kneser-Ney
+discounts from the counts of counts of each level. Bigrams count the labelled documents of
+the class that hold them; they back off to the class's continuation counts (distinct words
+before a word), and these to one distribution for both classes: the distinct words before
+a word in all documents of the corpus. A rare expression thus weighs the same in both.
+Bigrams in fewer than ``PAIR_DOCUMENTS`` documents of a class are pruned and leave their
+whole mass to the backoff; so do those after a word that only one class has, as the other
+has no distribution there to compare. The score of a text compares its two likelihoods per word.
 """
 
 from __future__ import annotations
@@ -20,11 +22,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import textops
 from plumbline.llm.logistic import fit_logistic
 
-#: Discounts: an expression counts for a class by what it has beyond them.
-DISCOUNT = 5
-PAIR_DISCOUNT = 200
-#: Exponent of the mean over the words of a text.
-POWER = 2.0
+#: A bigram of fewer documents of a class is pruned.
+PAIR_DOCUMENTS = 4
+#: Discounts of counts 1, 2, and 3 and more where the counts of counts are too few to tell.
+USUAL_DISCOUNTS = (0.75, 1.25, 1.5)
 #: About so many labelled rows per class fit the class counts and the calibration.
 PER_CLASS = 3000
 #: One in so many of them only calibrates the score.
@@ -54,8 +55,8 @@ def _places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Models:
     """Tables of both classes, sorted by hash; arrays of two columns are (ordinary, toxic).
 
-    A word or bigram that no class has more often than its discount adds nothing of its
-    own to either model, so it is in no table: the tables stay small and nothing is lost.
+    The vocabulary are the words of the labelled sample. Any other word has only the shared
+    distribution in both models, so that its probability there cancels.
     """
 
     words: np.ndarray
@@ -65,16 +66,15 @@ class Models:
     back: np.ndarray  # weight of the word model after a context
     pairs: np.ndarray
     pair_own: np.ndarray  # discounted relative frequency of a bigram after its context
-    shared: np.ndarray  # documents of the corpus with the word
-    unseen: float = 1.0  # pairs of document and a word outside the table
+    shared: np.ndarray  # distinct words before the word in the whole corpus
     slope: float = 1.0
     offset: float = 0.0
 
     def log_ratio(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Per text: how much likelier the toxic model finds its words, as a mean per word.
 
-        The mean is the power mean of the likelihood ratios, so that a few strong words count
-        in a long text. Nothing is taken off that comes from the text itself: a text of toxic
+        The mean is that of the likelihood ratios, so that a few strong words count in a
+        long text. Nothing is taken off that comes from the text itself: a text of toxic
         words only, or of one toxic phrase many times, keeps their whole ratio. A text
         without words gets 0, as both models find it equally likely.
         """
@@ -82,7 +82,7 @@ class Models:
         at, known = _places(self.words, hashes)
         p = np.tile(self.rest * SAME, (len(hashes), 1))
         where = np.flatnonzero(known)
-        share = np.maximum(self.shared, 0.5) / max(self.shared.sum() + self.unseen, 1)
+        share = np.maximum(self.shared, 0.5) / max(self.shared.sum(), 1)
         p[where] = (self.own + self.rest * share[:, None])[at[where]]
         at, seen = _places(self.contexts, before)
         where = np.flatnonzero(seen)
@@ -92,51 +92,59 @@ class Models:
         p[where] += self.pair_own[at[where]]
         ratio = np.log(p[:, 1]) - np.log(p[:, 0])
         counts = np.diff(bounds)
-        powered = np.exp(np.clip(POWER * ratio, -60, 60))
-        mean = textops.sums_by_text(powered, bounds) / np.maximum(counts, 1)
-        return np.where(counts > 0, np.log(np.maximum(mean, 1e-12)) / POWER, 0.0)
+        mean = textops.sums_by_text(np.exp(np.clip(ratio, -60, 60)), bounds) / np.maximum(counts, 1)
+        return np.where(counts > 0, np.log(np.maximum(mean, 1e-12)), 0.0)
 
     def score(self, ratio: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.offset, -35, 35)))
 
 
+def discounted(counts: np.ndarray) -> np.ndarray:
+    """Counts less their modified Kneser-Ney discounts, which differ for 1, 2, and 3 and more."""
+    of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+    first = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.0
+    steps = [0.0]
+    for k in (1, 2, 3):
+        told = first and of[k - 1] and of[k]
+        steps.append(float(np.clip(k - (k + 1) * first * of[k] / of[k - 1], 0, k)) if told else USUAL_DISCOUNTS[k - 1])
+    return counts - np.array(steps)[np.minimum(counts, 3)]
+
+
+def _document_pairs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams: hash, documents that hold it, the word before, the word."""
+    parts = [(np.zeros(0, np.uint64),) * 3]
+    for hashes in texts:
+        before, keys = _pairs(hashes, np.array([0, len(hashes)]))
+        keys, at = np.unique(keys, return_index=True)
+        parts.append((keys, before[at], hashes[at]))
+    keys, before, words = (np.concatenate(column) for column in zip(*parts))
+    keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+    return keys, n, before[at], words[at]
+
+
 def count_classes(samples: list[tuple[np.ndarray, int]]) -> Models:
     """Both models from word hashes with their label; the shared counts are still missing."""
-    sides = []
-    for label in (0, 1):
-        own = [h for h, y in samples if y == label]
-        bounds = np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int64)
-        hashes = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        sides.append((hashes, *_pairs(hashes, bounds)))
-
-    def table(column, discount):
-        """Keys that some class has more often than the discount, and their discounted counts."""
-        each = [np.unique(s[column], return_counts=True) for s in sides]
-        keys = np.unique(np.concatenate([k[n > discount] for k, n in each]))
-        counts = np.zeros((len(keys), 2))
-        for c, (k, n) in enumerate(each):
-            k, n = k[n > discount], n[n > discount]
-            counts[np.searchsorted(keys, k), c] = n - discount
-        return keys, counts
-
-    words, kept = table(0, DISCOUNT)
-    total = np.maximum([len(s[0]) for s in sides], 1)
-    own = kept / total
+    sides = [_document_pairs([h for h, y in samples if y == label]) for label in (0, 1)]
+    words = np.unique(np.concatenate([s[3] for s in sides]))
+    own = np.zeros((len(words), 2))
+    for c, (_, _, _, word) in enumerate(sides):
+        own[:, c] = discounted(np.bincount(np.searchsorted(words, word), minlength=len(words))) / max(len(word), 1)
     rest = np.maximum(1 - own.sum(0), 1e-6)
-    pairs, pair_kept = table(2, PAIR_DISCOUNT)
-    context_of = np.zeros(len(pairs), np.uint64)
-    for _, before, keys in sides:
-        at, hit = _places(pairs, keys)
-        context_of[at[hit]] = before[hit]
-    contexts, place = np.unique(context_of, return_inverse=True)
-    seen = np.zeros((len(contexts), 2))
-    mass = np.zeros((len(contexts), 2))
-    for c, (_, before, _) in enumerate(sides):
+
+    both = np.intersect1d(sides[0][2], sides[1][2])
+    held = [(n >= PAIR_DOCUMENTS) & np.isin(before, both) for _, n, before, _ in sides]
+    pairs = np.unique(np.concatenate([s[0][h] for s, h in zip(sides, held)]))
+    contexts = np.unique(np.concatenate([s[2][h] for s, h in zip(sides, held)]))
+    pair_own = np.zeros((len(pairs), 2))
+    back = np.ones((len(contexts), 2))
+    for c, ((keys, n, before, _), kept) in enumerate(zip(sides, held)):
         at, hit = _places(contexts, before)
-        seen[:, c] = np.bincount(at[hit], minlength=len(contexts))
-        np.add.at(mass[:, c], place, pair_kept[:, c])
-    back = np.where(seen > 0, 1 - mass / np.maximum(seen, 1), 1.0)
-    return Models(words, own, rest, contexts, back, pairs, pair_kept / np.maximum(seen[place], 1), np.zeros(len(words)))
+        seen = np.maximum(np.bincount(at[hit], n[hit], len(contexts)), 1)
+        at = np.searchsorted(contexts, before[kept])
+        part = discounted(n)[kept] / seen[at]
+        pair_own[np.searchsorted(pairs, keys[kept]), c] = part
+        back[:, c] -= np.bincount(at, part, len(contexts))
+    return Models(words, own, rest, contexts, back, pairs, pair_own, np.zeros(len(words)))
 
 
 def _word_bytes(batches):
@@ -146,39 +154,42 @@ def _word_bytes(batches):
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], names=["label", "words"])
 
 
-def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, float]:
-    """In how many documents each word of the vocabulary stands, and the pairs of document and any other word.
+def continuation_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Distinct words before each word of the vocabulary (the start of a text is one), in all documents.
 
-    Counts all documents. The vocabulary is bounded by the sample of the classifier.
+    A row is one number: the place of the word, then a hash of the bigram. Equal bigrams of
+    a task meet before the shuffle. The vocabulary is bounded by the sample of the classifier.
     """
     table = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    bits = 63 - len(vocabulary).bit_length()
 
-    def count(batches):
+    def bigrams(batches):
         known = table.value
         for _, texts in textops.pieces(batches):
             hashes, bounds = textops.words(texts, textops.OUTSIDE)
+            _, keys = _pairs(hashes, bounds)
             at, hit = _places(known, hashes)
-            at = np.where(hit, at, len(known))
-            text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            once = np.unique(at * len(texts) + text) // len(texts)
-            found, n = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(vocabulary) + 1)
+            numbers = (at[hit].astype(np.int64) << bits) | (keys[hit] >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(numbers), pa.int64())], names=["bigram"])
+
+    found = docs.select("text").mapInArrow(bigrams, "bigram long").distinct()
+    rows = found.groupBy(F.shiftright("bigram", bits).alias("word")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(len(vocabulary))
     out[rows["word"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out[:-1], float(out[-1])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Models:
     """Fit both models and the calibration.
 
-    ``labels`` has (doc_id, label) with 0 or 1; other labels and null ids are ignored.
+    ``labels`` has (doc_id, label) with 0 or 1; other labels and null ids are ignored, and an
+    id with both labels is toxic.
     The class counts come from about ``per_class`` labelled documents a class, the shared
     counts from all documents. Without any labelled document every score is the same.
     """
     usable = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
-    ids = textops.bounded_sample(usable.dropDuplicates(["doc_id"]), "label", per_class)
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = textops.bounded_sample(usable, "label", per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
     rows = texts.mapInArrow(_word_bytes, "label int, words binary").toPandas()
     samples = [(np.frombuffer(w, np.uint64), int(y)) for y, w in zip(rows["label"], rows["words"])]
@@ -188,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     samples = [samples[i] for i in order]
     checked, counted = samples[:: CALIBRATE], [s for i, s in enumerate(samples) if i % CALIBRATE]
     models = count_classes(counted)
-    models.shared, models.unseen = _document_counts(docs, models.words)
+    models.shared = continuation_counts(docs, models.words)
     if checked:
         bounds = np.concatenate([[0], np.cumsum([len(h) for h, _ in checked])]).astype(np.int64)
         ratio = models.log_ratio(np.concatenate([h for h, _ in checked]), bounds)
