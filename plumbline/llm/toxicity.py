@@ -155,25 +155,27 @@ def _word_bytes(batches):
 
 
 def continuation_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Distinct words before each word of the vocabulary (the start of a text is one), in all documents.
+    """Distinct words before each word of the vocabulary, in all documents.
 
-    A row is one number: the place of the word, then a hash of the bigram. Equal bigrams of
-    a task meet before the shuffle. The vocabulary is bounded by the sample of the classifier.
+    All words outside the vocabulary count as one, and so does the start of a text. A row is
+    one number, made of the places of both words; equal bigrams of a task meet before the
+    shuffle. The vocabulary is bounded by the sample of the classifier.
     """
     table = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    bits = 63 - len(vocabulary).bit_length()
+    size = max(len(vocabulary), 1)
 
     def bigrams(batches):
         known = table.value
         for _, texts in textops.pieces(batches):
             hashes, bounds = textops.words(texts, textops.OUTSIDE)
-            _, keys = _pairs(hashes, bounds)
             at, hit = _places(known, hashes)
-            numbers = (at[hit].astype(np.int64) << bits) | (keys[hit] >> np.uint64(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(numbers), pa.int64())], names=["bigram"])
+            before = np.full(len(hashes), size, np.int64)
+            before[1:][hit[:-1]] = at[:-1][hit[:-1]]
+            before[bounds[:-1][bounds[:-1] < bounds[1:]]] = size + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique((before * size + at)[hit]), pa.int64())], names=["bigram"])
 
     found = docs.select("text").mapInArrow(bigrams, "bigram long").distinct()
-    rows = found.groupBy(F.shiftright("bigram", bits).alias("word")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    rows = found.groupBy((F.col("bigram") % size).alias("word")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     out = np.zeros(len(vocabulary))
     out[rows["word"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out

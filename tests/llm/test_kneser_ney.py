@@ -38,7 +38,8 @@ def plain_model(labelled, corpus, label):
     both = {v for v, _ in pairs} & {v for v, _ in other}
     before = Counter(w for _, w in pairs)
     vocabulary = {w for t, _ in labelled for w in t.lower().split()}
-    shared = Counter(w for _, w in {p for t in corpus for p in bigrams(t)} if w in vocabulary)
+    known = lambda v: v if v in vocabulary or v == "<s>" else "<unknown>"
+    shared = Counter(w for _, w in {(known(v), w) for t in corpus for v, w in bigrams(t)} if w in vocabulary)
     off_word, off_pair = discounts(before.values()), discounts(pairs.values())
     own = {w: (n - off_word(n)) / len(pairs) for w, n in before.items()}
     rest = 1 - sum(own.values())
@@ -58,7 +59,7 @@ def plain_model(labelled, corpus, label):
 
 def test_scores_equal_plain_kneser_ney(spark):
     labelled = made(1, 120)
-    corpus = [t for t, _ in labelled + made(2, 80)] + ["", "new words w1 w2", None]
+    corpus = [t for t, _ in labelled + made(2, 80)] + ["", "new words w1 w2", "other w1 unseen w1", None]
     samples = [(textops.words([t.encode()], textops.OUTSIDE)[0], y) for t, y in labelled]
     models = toxicity.count_classes(samples)
     docs = spark.createDataFrame([(t,) for t in corpus], "text string").repartition(4)
