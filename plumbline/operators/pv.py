@@ -282,17 +282,23 @@ def _has(*fields: str) -> Column:
     return out
 
 
+# Header words that show which items a table reports.
+REPORTING_WORDS = {
+    "stability": ["stabil", "t80", "degrad", "retent", "isos", "aging"],
+    "stats": ["std", "dev", "mean", "avg", "average", "error", "champion", "best", "number", "count"],
+    "calib": ["calib", "ref cell", "simulator", "spectral mismatch"],
+    "tandem": ["tandem", "2t", "4t", "subcell", "top cell", "bottom cell", "filter"],
+    "bias": ["bias", "filtered"],
+}
+
+
 def table_completeness(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """Recommended reporting items that a table with photovoltaic values leaves out."""
     fields = PV_FIELDS + [
         "mask_area_cm2", "scan_direction", "scan_rate", "temperature_c", "humidity_percent", "t80_h", "stabilized_pce_percent",
     ]
     heads = table_columns(cells).groupBy(*TABLE).agg(
-        _any_header(["stabil", "t80", "degrad", "retent", "isos", "aging"]).alias("stability"),
-        _any_header(["std", "dev", "mean", "avg", "average", "error", "champion", "best", "number", "count"]).alias("stats"),
-        _any_header(["calib", "ref cell", "simulator", "spectral mismatch"]).alias("calib"),
-        _any_header(["tandem", "2t", "4t", "subcell", "top cell", "bottom cell", "filter"]).alias("tandem"),
-        _any_header(["bias", "filtered"]).alias("bias"),
+        *[_any_header(words).alias(name) for name, words in REPORTING_WORDS.items()],
     )
     t = _presence(rows, fields).join(heads, TABLE).where(_has(*PV_FIELDS))
     missing = F.array_compact(
@@ -314,6 +320,18 @@ def table_completeness(cells: DataFrame, rows: DataFrame) -> DataFrame:
 # Header words of stability tables.
 STABILITY_WORDS = ["stability", "t80", "duration", "mpp", "isos", "degradation", "retention", "aging", "damp heat", "light soaking", "thermal"]
 
+# Header words of each condition of a stress test, and conditions whose column must hold a value.
+CONDITION_WORDS = {
+    "duration": ["duration", "time", "hours", "t80"],
+    "temp": ["temp", "temperature"],
+    "humidity": ["humidity", "rh", "atmosphere", "nitrogen", "n2", "air", "ambient"],
+    "light": ["light", "illumination", "soaking", "led", "suns", "am1.5", "dark"],
+    "bias": ["bias", "mpp", "load", "open circuit", "short circuit", "voc", "jsc", "electrical"],
+    "encap": ["encapsulation", "encap", "epoxy", "glass", "capsulation"],
+    "retention": ["retention", "degradation", "ret", "pce", "efficiency", "drop", "decay", "initial", "final"],
+}
+VALUED_CONDITIONS = ["temp", "humidity"]
+
 
 def stability_completeness(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """Stress-test conditions that a table with stability data leaves out."""
@@ -324,13 +342,7 @@ def stability_completeness(cells: DataFrame, rows: DataFrame) -> DataFrame:
     valued = F.col("valued")
     heads = table_columns(cells).groupBy(*TABLE).agg(
         _any_header(STABILITY_WORDS).alias("stability"),
-        _any_header(["duration", "time", "hours", "t80"]).alias("duration"),
-        _any_header(["temp", "temperature"], valued).alias("temp"),
-        _any_header(["humidity", "rh", "atmosphere", "nitrogen", "n2", "air", "ambient"], valued).alias("humidity"),
-        _any_header(["light", "illumination", "soaking", "led", "suns", "am1.5", "dark"]).alias("light"),
-        _any_header(["bias", "mpp", "load", "open circuit", "short circuit", "voc", "jsc", "electrical"]).alias("bias"),
-        _any_header(["encapsulation", "encap", "epoxy", "glass", "capsulation"]).alias("encap"),
-        _any_header(["retention", "degradation", "ret", "pce", "efficiency", "drop", "decay", "initial", "final"]).alias("retention"),
+        *[_any_header(words, valued if name in VALUED_CONDITIONS else None).alias(name) for name, words in CONDITION_WORDS.items()],
     )
     t = _presence(rows, fields).join(heads, TABLE)
     t = t.where(F.col("stability") | _has(*fields[:6]))
