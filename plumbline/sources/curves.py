@@ -219,16 +219,21 @@ def builtin_reference(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REFERENCE_SPECTRUM, "wavelength_nm double, irradiance double")
 
 
+# Header words of the columns of a reference spectrum.
+WAVELENGTH_WORDS = ["wavelength", "nm"]
+IRRADIANCE_WORDS = ["irradiance", "w_m2", "intensity"]
+
+
 def read_reference_spectrum(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``wavelength_nm, irradiance`` from a delimited file; columns by header words."""
     lines = numbered_lines(spark, paths, keep_blank=False)
     layout = _file_layout(lines, None).withColumns(
         {
-            "_w": F.coalesce(_first(F.col("_names"), lambda n: contains_any(n, ["wavelength", "nm"])), F.lit(0)),
+            "_w": F.coalesce(_first(F.col("_names"), lambda n: contains_any(n, WAVELENGTH_WORDS)), F.lit(0)),
             "_e": F.coalesce(
                 _first(
                     F.col("_names"),
-                    lambda n: ~contains_any(n, ["wavelength"]) & contains_any(n, ["irradiance", "w_m2", "intensity"]),
+                    lambda n: ~contains_any(n, ["wavelength"]) & contains_any(n, IRRADIANCE_WORDS),
                 ),
                 F.lit(1),
             ),
