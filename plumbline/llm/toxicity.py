@@ -7,7 +7,9 @@ before a word), and these to one distribution for both classes: the distinct wor
 a word in all documents of the corpus. A rare expression thus weighs the same in both.
 Bigrams in fewer than ``PAIR_DOCUMENTS`` documents of a class are pruned and leave their
 whole mass to the backoff; so do those after a word that only one class has, as the other
-has no distribution there to compare. The score of a text compares its two likelihoods per word.
+has no distribution there to compare. The score of a text weighs two comparisons of its
+likelihoods: that per word, and that of its most telling word, so that one or two toxic
+words count in a text of any length.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import textops
 from plumbline.llm.logistic import fit_logistic
 
-#: A bigram of fewer documents of a class is pruned.
+#: A bigram of fewer documents of a class is pruned, and a word of fewer in both tells nothing by itself.
 PAIR_DOCUMENTS = 4
 #: Discounts of counts 1, 2, and 3 and more where the counts of counts are too few to tell.
 USUAL_DISCOUNTS = (0.75, 1.25, 1.5)
@@ -67,7 +69,9 @@ class Models:
     pairs: np.ndarray
     pair_own: np.ndarray  # discounted relative frequency of a bigram after its context
     shared: np.ndarray  # distinct words before the word in the whole corpus
+    told: np.ndarray  # whether enough documents of a class hold the word for it to tell by itself
     slope: float = 1.0
+    peak_slope: float = 0.0
     offset: float = 0.0
 
     def log_ratio(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -78,12 +82,22 @@ class Models:
         words only, or of one toxic phrase many times, keeps their whole ratio. A text
         without words gets 0, as both models find it equally likely.
         """
+        return self.evidence(hashes, bounds)[0]
+
+    def evidence(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: ``log_ratio``, and the largest log ratio of one of its words by itself.
+
+        The second has neither bigrams nor words of few documents in it, and is 0 at least.
+        """
         before, keys = _pairs(hashes, bounds)
         at, known = _places(self.words, hashes)
         p = np.tile(self.rest * SAME, (len(hashes), 1))
         where = np.flatnonzero(known)
         share = np.maximum(self.shared, 0.5) / max(self.shared.sum(), 1)
-        p[where] = (self.own + self.rest * share[:, None])[at[where]]
+        words = self.own + self.rest * share[:, None]
+        p[where] = words[at[where]]
+        single = np.zeros(len(hashes))
+        single[where] = np.where(self.told, np.log(words[:, 1]) - np.log(words[:, 0]), 0.0)[at[where]]
         at, seen = _places(self.contexts, before)
         where = np.flatnonzero(seen)
         p[where] *= self.back[at[where]]
@@ -93,10 +107,14 @@ class Models:
         ratio = np.log(p[:, 1]) - np.log(p[:, 0])
         counts = np.diff(bounds)
         mean = textops.sums_by_text(np.exp(np.clip(ratio, -60, 60)), bounds) / np.maximum(counts, 1)
-        return np.where(counts > 0, np.log(np.maximum(mean, 1e-12)), 0.0)
+        peak = np.zeros(len(counts))
+        filled = np.flatnonzero(counts)
+        if len(filled):
+            peak[filled] = np.maximum(np.maximum.reduceat(single, bounds[filled]), 0.0)
+        return np.where(counts > 0, np.log(np.maximum(mean, 1e-12)), 0.0), peak
 
-    def score(self, ratio: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.offset, -35, 35)))
+    def score(self, ratio: np.ndarray, peak: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.peak_slope * peak + self.offset, -35, 35)))
 
 
 def discounted(counts: np.ndarray) -> np.ndarray:
@@ -130,6 +148,10 @@ def count_classes(samples: list[tuple[np.ndarray, int]]) -> Models:
     for c, (_, _, _, word) in enumerate(sides):
         own[:, c] = discounted(np.bincount(np.searchsorted(words, word), minlength=len(words))) / max(len(word), 1)
     rest = np.maximum(1 - own.sum(0), 1e-6)
+    told = np.zeros(len(words), bool)
+    for label in (0, 1):
+        held_by = [np.unique(h) for h, y in samples if y == label]
+        told |= np.bincount(np.searchsorted(words, np.concatenate([words[:0], *held_by])), minlength=len(words)) >= PAIR_DOCUMENTS
 
     both = np.intersect1d(sides[0][2], sides[1][2])
     held = [(n >= PAIR_DOCUMENTS) & np.isin(before, both) for _, n, before, _ in sides]
@@ -144,7 +166,7 @@ def count_classes(samples: list[tuple[np.ndarray, int]]) -> Models:
         part = discounted(n)[kept] / seen[at]
         pair_own[np.searchsorted(pairs, keys[kept]), c] = part
         back[:, c] -= np.bincount(at, part, len(contexts))
-    return Models(words, own, rest, contexts, back, pairs, pair_own, np.zeros(len(words)))
+    return Models(words, own, rest, contexts, back, pairs, pair_own, np.zeros(len(words)), told)
 
 
 def _word_bytes(batches):
@@ -204,11 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     models.shared = continuation_counts(docs, models.words)
     if checked:
         bounds = np.concatenate([[0], np.cumsum([len(h) for h, _ in checked])]).astype(np.int64)
-        ratio = models.log_ratio(np.concatenate([h for h, _ in checked]), bounds)
+        evidence = np.stack(models.evidence(np.concatenate([h for h, _ in checked]), bounds), 1)
         y = np.array([y for _, y in checked])
         seen = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         weight = np.array([seen.get(int(v), 1) / max(1, (y == v).sum()) for v in y])
-        models.slope, models.offset = fit_logistic(ratio, y, weight)
+        (models.slope, models.peak_slope), models.offset = fit_logistic(evidence, y, weight)
     return models
 
 
@@ -225,8 +247,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(batches):
         for part, texts in textops.pieces(batches):
-            ratio = shared.value.log_ratio(*textops.words(texts, textops.OUTSIDE))
-            arrays = [part.column(c) for c in columns] + [pa.array(shared.value.score(ratio)), pa.array(ratio)]
+            ratio, peak = shared.value.evidence(*textops.words(texts, textops.OUTSIDE))
+            arrays = [part.column(c) for c in columns] + [pa.array(shared.value.score(ratio, peak)), pa.array(ratio)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "score", "log_ratio"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [extra])
