@@ -10,6 +10,7 @@ from plumbline.functions.cells import is_missing, unit_hint
 from plumbline.functions.risk import stable_id
 from plumbline.functions.units import loose_number, normalize_pv_value
 from plumbline.schemas import as_findings, evidence, metadata, text_list
+from plumbline.session import materialize
 
 TABLE = ["package_id", "table_id", "source_file"]
 
@@ -39,7 +40,9 @@ def pv_metric_rows(cells: DataFrame) -> DataFrame:
     The only grouping is by table row, so its tasks are even whatever the table sizes.
     """
     value = F.trim("value")
-    mapped = cells.join(map_headers(cells), "column_name", "left")
+    # as files: their small size is known before the cells move, which else meet by their few headers;
+    # the cells of a row come together first, so that a file of few row groups is no few tasks either
+    mapped = cells.repartition(*TABLE, "row_index").join(materialize(map_headers(cells), "headers"), "column_name", "left")
     norm = normalize_pv_value(F.col("field"), F.col("value"), F.col("unit_hint"))
     staged = mapped.select(
         *TABLE, "row_index", "col_index", "column_name", "value", "field", "role", "is_light",
