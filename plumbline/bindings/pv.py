@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.bindings.common import table
 from plumbline.operators import pv as P
+from plumbline.session import materialize
 from plumbline.sources.frames import cells_from_dataframe
 
 # (header, value); k is the order key, c the customer key. Both engines read the same text.
@@ -127,7 +128,8 @@ def domain_query(spark, sf):
 def findings_query(spark, sf):
     """All photovoltaic checks of one job, as findings."""
     cells = pv_cells(spark, sf)
-    rows = P.pv_metric_rows(cells)
+    # read by four checks; written once, the cells are not typed again for each
+    rows = materialize(P.pv_metric_rows(cells), "pv-rows")
     parts = [
         P.pce_consistency(rows),
         P.eqe_jv_consistency(rows),

@@ -22,7 +22,8 @@ def table_review(cells: DataFrame, contexts: DataFrame | None = None) -> DataFra
 
 def pv_review(cells: DataFrame) -> DataFrame:
     """Every photovoltaic table check."""
-    rows = pv.pv_metric_rows(cells)
+    # read by seven checks; written once, the cells are not typed again for each
+    rows = materialize(pv.pv_metric_rows(cells), "pv-rows")
     return reduce(
         DataFrame.unionByName,
         [
