@@ -82,7 +82,9 @@ def with_filled(df: DataFrame, keys: list[str], order: str, chunk: str, value: s
         edge = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
         carried = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        near = F.first(value, ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing))
+        # read from the far end: a frame that ends at the last row is gone through anew for each row
+        back = Window.partitionBy(*keys, chunk).orderBy(F.col(order).desc())
+        near = F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         edge = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
         carried = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
     edges = df.groupBy(*keys, chunk).agg(edge.alias("_edge")).withColumn("_carried", carried).drop("_edge")

@@ -65,3 +65,11 @@ def test_row_chunks_are_even(spark, values):
     assert sum(sizes) == 4000 and len(sizes) <= parts and max(sizes) <= 2 * 4000 / parts
     runs = ordered.islands(ordered.row_chunks(df.withColumn("v", F.lit(1)), ["k"], ["o"]), ["k"], "o", "_chunk", "v").collect()
     assert [r["run_length"] for r in runs] == [4000]
+
+
+def test_backward_fill_reads_each_row_once(rows):
+    """No frame up to the last row of a chunk, which Spark goes through anew for each of its rows."""
+    c = rows.withColumn("ch", ordered.order_chunk(F.col("o"), 300))
+    filled = ordered.with_filled(c, ["k"], "o", "ch", "w", "f", forward=False).select("k", "o", "f")
+    plan = filled._jdf.queryExecution().optimizedPlan().toString().replace("$", "").lower()
+    assert "rowframe, currentrow" not in plan and "rowframe, 0, unboundedfollowing" not in plan
