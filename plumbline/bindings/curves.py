@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.bindings.common import table
-from plumbline.bindings.files import rename_suffix
+from plumbline.bindings.files import write_each
 from plumbline.operators import curves as C
 from plumbline.session import scratch_path
 from plumbline.sources import curves as R
@@ -129,9 +129,8 @@ def _user_files(spark, sf, label, header, line, suffix, prefix):
     path = scratch_path(spark, label)
     e = table(spark, sf, "events")
     texts = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.expr(line).alias("t")))).alias("e"))
-    body = F.concat(F.lit(header), F.concat_ws("\n", F.transform("e", lambda x: x["t"])), F.lit("\n"))
-    texts.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/{prefix}")
-    rename_suffix(spark, f"{path}/{prefix}", ".txt", suffix)
+    body = F.concat(F.lit(header), F.concat_ws("\n", F.transform("e", lambda x: x["t"])), F.lit("\n\n"))
+    write_each(texts.select(body.alias("value")), f"{path}/{prefix}", suffix)
     return path
 
 
@@ -181,9 +180,8 @@ def manifest_query(spark, sf):
 def image_query(spark, sf):
     """Documents of the two shortest sources written as image-named files; equal texts give equal hashes."""
     path = scratch_path(spark, "images")
-    p = table(spark, sf, "pages").select(F.concat("html", F.lit("\n")).alias("value"))
-    p.write.option("maxRecordsPerFile", 1).option("lineSep", "\u0001").text(path)
-    rename_suffix(spark, path, ".txt", ".png")
+    html = F.coalesce(F.concat("html", F.lit("\n")), F.lit(""))
+    write_each(table(spark, sf, "pages").select(F.concat(html, F.lit("\u0001")).alias("value")), path, ".png")
     m = R.image_manifest(spark, path)
     return m.groupBy("sha256").agg(F.count(F.lit(1)).alias("files"), F.min("file_ext").alias("file_ext"), F.countDistinct("image_id").alias("ids"))
 
