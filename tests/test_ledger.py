@@ -203,3 +203,32 @@ def test_a_large_package_spreads_over_files(spark, make, monkeypatch):
     lost = spark.read.schema("file string, findings long").json(f"{path}/_manifests/{version}").withColumn("findings", F.col("findings") + 1)
     lost.limit(1).write.mode("append").json(f"{path}/_manifests/{version}")
     assert ledgers.damaged_files(spark, path).count() == 1
+
+
+def test_small_packages_share_files(spark, make, monkeypatch):
+    """The number of files follows the findings; the manifest tells which packages a file holds."""
+    from plumbline.sources import ledgers
+
+    monkeypatch.setattr(ledgers, "FILE_ROWS", 20)
+    path = scratch_path(spark, "t")
+    version = write_ledger(make(*[{"finding_id": f"f{i}", "package_id": f"p{i:03d}"} for i in range(60)], {"finding_id": "n", "package_id": None}), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/_versions/{version}").count()
+    assert files <= 8
+    listed = spark.read.json(f"{path}/_manifests/{version}").orderBy("first_package").collect()
+    assert sum(r.findings for r in listed) == 61 and ledgers.damaged_files(spark, path).isEmpty()
+    named = [r for r in listed if r.first_package]
+    assert all(a.last_package <= b.first_package for a, b in zip(named, named[1:]))
+    assert read_ledger(spark, path)[0].where("package_id is null").count() == 1
+
+
+def test_the_cheap_test_passes_over_relative_paths_only(spark):
+    """A text with an issue is always looked at; a plain relative path is not."""
+    from plumbline.functions import safety
+
+    bad = ["/home/u/x", "see (/etc/passwd)", "C:\\data\\x", "d:/data/x", "\\\\host\\share", "\\\\?\\C:\\x", "Private_Audio\\a", "a raw_metadata/b",
+           "Authorization: x", "Bearer abc", "xsec-token=1", "QR: 3", "session-id: 4", "cookie=5", "author GUILTY", "作者造假", "a\u0002/b/c"]
+    fine = ["data/file_1.csv", "https://example.org/a/b", "plain text", ""]
+    rows = spark.createDataFrame([(t,) for t in bad + fine], "t string")
+    got = rows.select("t", safety.suspicious(F.col("t")).alias("s"), F.size(safety.text_safety_issues(F.col("t"))).alias("n")).collect()
+    assert all(r.n > 0 and r.s for r in got if r.t in bad)
+    assert not any(r.n or r.s for r in got if r.t in fine), [r.t for r in got if r.t in fine and r.s]
