@@ -53,6 +53,27 @@ def _state_after(lines: DataFrame, outside: Column, inside: Column, name: str) -
     return out.withColumn(name, F.coalesce("_last", F.lit(False)) != odd).drop("_swaps", "_set", "_last")
 
 
+def _joined_records(text: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines of each record joined: ``path, line_number, line, latin1``.
+
+    Lines meet their record in the chunk that holds both, and records that lie within a
+    chunk are joined there, so a text is shuffled once. Records are made of neighbouring
+    lines, so one that crosses chunks is the last of one and the first of another.
+    """
+    ends = places.groupBy("path", _CHUNK).agg(F.min("_record").alias("_low"), F.max("_record").alias("_high"))
+    each = ends.select("path", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_record"))
+    crossing = each.groupBy("path", "_record").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("path", "_record")
+    here = lambda df: df.repartition("path", _CHUNK)
+    inner = here(text).join(here(places.join(crossing, ["path", "_record"], "left_anti")), ["path", _CHUNK, _ORDER])
+    outer = text.join(places.join(crossing, ["path", "_record"], "left_semi"), ["path", _CHUNK, _ORDER])
+
+    def joined(rows, keys):
+        pieces = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(_ORDER, "line"))).alias("_lines"), F.max("latin1").alias("latin1"))
+        return pieces.select("path", F.col("_record").alias(_ORDER), F.array_join(F.col("_lines.line"), "\n").alias("line"), "latin1")
+
+    return joined(inner, ["path", _CHUNK, "_record"]).unionByName(joined(outer, ["path", "_record"]))
+
+
 def delimited_records(spark: SparkSession, paths: str | list[str], glob: str, tab: Column) -> tuple[DataFrame, DataFrame]:
     """(records, unclosed): ``path, line_number, line, latin1`` as :func:`numbered_lines` gives them, and files with a stray quote.
 
@@ -76,20 +97,18 @@ def delimited_records(spark: SparkSession, paths: str | list[str], glob: str, ta
         .withColumn("_from_outside", F.when(quoted, _ends_quoted(clean, tab)).otherwise(False))
         .withColumn("_from_inside", F.when(quoted, _ends_quoted(F.concat(F.lit('"'), "line"), tab)).otherwise(True))
     )
-    states = _state_after(materialize(tagged, "quoted-lines"), F.col("_from_outside"), F.col("_from_inside"), "_open")
+    # the texts are written once and met again by their line numbers; only marks are carried on
+    text = materialize(tagged.withColumn("_blank", F.trim(F.regexp_replace("line", r"\s", "")) == ""), "quoted-lines")
+    states = _state_after(text.drop("line", "latin1"), F.col("_from_outside"), F.col("_from_inside"), "_open")
     states = materialize(states.drop("_from_outside", "_from_inside"), "quote-states")
     files = states.groupBy("path").agg(
         F.coalesce(F.max(F.when(~F.col("_open"), F.col(_ORDER))), F.lit(0)).alias("_closed"), F.max(_ORDER).alias("_end")
     )
     ended = states.join(files.select("path", "_closed"), "path").withColumn("_ends", ~F.col("_open") | (F.col(_ORDER) > F.col("_closed")))
-    blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
-    kept = ended.withColumn("_counts", F.when(F.col("_ends") & ~blank, 1).otherwise(0))
-    numbered = with_running_total(kept, _KEYS, _ORDER, _CHUNK, F.col("_counts"), "_total").where(~(F.col("_ends") & blank))
-    records = (
-        numbered.groupBy("path", (F.col("_total") - F.col("_counts") + 1).alias("_record"))
-        .agg(F.sort_array(F.collect_list(F.struct(_ORDER, "line"))).alias("_lines"), F.max("latin1").alias("latin1"))
-        .select("path", F.col("_record").alias(_ORDER), F.array_join(F.col("_lines.line"), "\n").alias("line"), "latin1")
-    )
+    kept = ended.withColumn("_counts", F.when(F.col("_ends") & ~F.col("_blank"), 1).otherwise(0))
+    numbered = with_running_total(kept, _KEYS, _ORDER, _CHUNK, F.col("_counts"), "_total").where(~(F.col("_ends") & F.col("_blank")))
+    places = materialize(numbered.select("path", _CHUNK, _ORDER, (F.col("_total") - F.col("_counts") + 1).alias("_record")), "record-numbers")
+    records = _joined_records(text.select("path", _CHUNK, _ORDER, "line", "latin1"), places)
     unclosed = files.where(F.col("_closed") < F.col("_end")).select("path")
     return plain.join(spanning, "path", "left_anti").unionByName(records), unclosed
 

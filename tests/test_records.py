@@ -91,3 +91,23 @@ def test_json_array_larger_than_a_split(spark, tmp_path, indent):
         by_file.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["pos"], json.loads(r["text"])))
     assert by_file == {"all.json": list(enumerate(entries)), "one.json": [(0, entries[7])], "cut.json": list(enumerate(entries[:4]))}
     assert {(r["item_id"], r["title"], r["year"]) for r in items} == {(f"e{n}", texts[n % 9], str(1990 + n % 30)) for n in range(60)}
+
+
+def test_records_that_cross_chunks_are_joined_and_texts_not_carried(spark, tmp_path, monkeypatch):
+    """With chunks of four lines; the steps that find the records hold marks only."""
+    from plumbline.sources import records
+
+    written = {}
+    keep = records.materialize
+    monkeypatch.setattr(records, "materialize", lambda df, label: written.update({label: df.columns}) or keep(df, label))
+    monkeypatch.setattr(records, "order_chunk", lambda c: records.F.floor(c / 4).cast("long"))
+    with open(tmp_path / "c.csv", "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["h", "i"])
+        for n in range(40):
+            out.writerow(["x\n" * (n % 11) + f'say "{n}"', n])
+    cells, _ = read_delimited_cells(spark, str(tmp_path))
+    got = {(r.row_index, r.col_index): r.value for r in cells.collect()}
+    assert len(got) == 80
+    assert all(got[n + 1, 0] == ("x\n" * (n % 11) + f'say "{n}"').strip() and got[n + 1, 1] == str(n) for n in range(40))
+    assert "line" not in written["quote-states"]
