@@ -69,6 +69,8 @@ def stream_terminal_digit(
 
 
 BUCKETS = 64
+#: Findings of one task of a batch, about.
+TASK_ROWS = 100_000
 
 
 def _bucket() -> Column:
@@ -131,6 +133,9 @@ def stream_mrpi(findings: DataFrame, event_time: str, folder: str, checkpoint: s
         touched = incoming.select("bucket").distinct()
         stored = _load(spark, state_path, schema, batch_id)
         rows = incoming if stored is None else incoming.unionByName(stored.join(touched, "bucket", "left_semi").select(*columns, "bucket"))
+        # as many tasks as the rows need; each holds few buckets, so it writes few files
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+        rows = rows.repartitionByRange(tasks, "bucket", "package_id", "finding_id")
         rest = [c for c in columns if c not in ("package_id", "finding_id")]
         order = F.struct(event_time, F.xxhash64(F.to_json(F.struct(*rest))))
         newest = rows.groupBy("package_id", "finding_id", "bucket").agg(F.max_by(F.struct(*rest), order).alias("s"))
