@@ -142,6 +142,8 @@ def scaled_counts(counts: DataFrame) -> DataFrame:
     ``k`` counts steps of ``10**-scale``. Whole-number arithmetic on it is exact and
     stays in one machine word unless the column is marked ``wide``.
     """
+    # read twice; written once, the cells are not parsed and counted again
+    counts = materialize(counts, "value-counts")
     fraction = F.substring_index(F.col("v").cast("string"), ".", -1)
     used = F.length(F.regexp_replace(fraction, "0+$", ""))
     whole = F.length(F.regexp_replace(F.substring_index(F.col("v").cast("string"), ".", 1), "^-?0*", ""))

@@ -188,3 +188,10 @@ def test_grid_reads_the_cells_few_times(spark):
     found = N.grid_metrics(cells.mapInArrow(seen, cells.schema)).select("candidate_risk").collect()
     assert [r.candidate_risk for r in found] == ["medium"]
     assert reads.value <= 5 * 60
+
+
+def test_cells_are_counted_once_for_scale_and_units(make_cells):
+    scaled = P.scaled_counts(P.value_counts(P.numeric_values(make_cells(["s"], [["1.5"], ["2.25"], ["1.50"]]))))
+    plan = scaled._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan and "LocalRelation" not in plan
+    assert sorted((str(r.k), r.n, r.scale) for r in scaled.collect()) == [("150", 2, 2), ("225", 1, 2)]
