@@ -195,3 +195,13 @@ def test_cells_are_counted_once_for_scale_and_units(make_cells):
     plan = scaled._jdf.queryExecution().optimizedPlan().toString()
     assert "RDD" not in plan and "LocalRelation" not in plan
     assert sorted((str(r.k), r.n, r.scale) for r in scaled.collect()) == [("150", 2, 2), ("225", 1, 2)]
+
+
+def test_overflow_of_short_and_long_texts(spark):
+    """Texts of up to 18 characters without an exponent are passed over before any pattern is tried; nothing else is."""
+    over = ["12345678901234567890", "1e20", "1E-19", "0.1234567890123456789", "-12345678901234567890.5"]
+    fits = ["999999999999999999", "-.1234567890123456", "1e3", "1.5E-2", "0.1234567890123400000", "text", "a text of more than 18 characters", "", None]
+    df = spark.createDataFrame([(t,) for t in [*over, *fits]], "t string")
+    assert {r.t for r in df.where(C.precision_overflow(F.col("t"))).collect()} == set(over)
+    codes = df.where(C.precision_overflow(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert codes.index("length(") < codes.index("RLIKE")

@@ -73,3 +73,29 @@ def test_backward_fill_reads_each_row_once(rows):
     filled = ordered.with_filled(c, ["k"], "o", "ch", "w", "f", forward=False).select("k", "o", "f")
     plan = filled._jdf.queryExecution().optimizedPlan().toString().replace("$", "").lower()
     assert "rowframe, currentrow" not in plan and "rowframe, 0, unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_longest_island_equals_the_runs(spark, parts):
+    rng = random.Random(5)
+    data = [("mixed", i, rng.choice([1, 1, 1, 2, None])) for i in range(700)] + [("one", i * 9, 4) for i in range(300)]
+    data += [("steps", i, i // 37) for i in range(400)] + [("nulls", i, None) for i in range(50)] + [("single", 5, 1)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, o long, v int").repartition(5)
+    runs = ordered.islands(df.withColumn("ch", F.lit(0)), ["k"], "o", "ch", "v").groupBy("k").agg(F.max("run_length").alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        same(ordered.longest_island(df, ["k"], "o", "v"), runs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_longest_island_is_cut_by_rows(spark, monkeypatch):
+    """Values are sorted in chunks whose number follows the rows, and none is shuffled again as a run."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 50)
+    df = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").alias("o"), F.floor(F.col("id") / 130).alias("v"))
+    got = ordered.longest_island(df, ["k"], "o", "v", 1000)
+    assert [tuple(r) for r in got.collect()] == [("a", 130)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and ", 20)" in plan[plan.index("rangepartitioning") :][:200]
