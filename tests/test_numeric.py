@@ -205,3 +205,16 @@ def test_overflow_of_short_and_long_texts(spark):
     assert {r.t for r in df.where(C.precision_overflow(F.col("t"))).collect()} == set(over)
     codes = df.where(C.precision_overflow(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert codes.index("length(") < codes.index("RLIKE")
+
+
+def test_columns_that_differ_are_found_without_reading_the_cells_again(make_cells, monkeypatch):
+    plans, write = {}, N.materialize
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().analyzed().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(N, "materialize", kept)
+    cells = make_cells(["a", "b", "c"], [[str(i * i), str(i * i + 5), str(i)] for i in range(20)])
+    assert [(r.column_name, r.offset) for r in N.fixed_delta_classes(cells).where("col_index > 0").collect()] == [("b", Decimal(5))]
+    assert "row_index" in plans["delta-sums"] and "row_index" not in plans["delta-members"]
