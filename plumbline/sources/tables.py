@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.schemas import CELLS
+from plumbline.session import materialize
 from plumbline.sources.lines import file_name, numbered_lines
 from plumbline.sources.records import delimited_records
 
@@ -58,10 +59,10 @@ def read_delimited_cells(spark: SparkSession, paths: str | list[str], package_id
     may be far larger than a task.
     """
     tab = F.lower("path").endswith(".tsv")
-    lines, unclosed = delimited_records(spark, paths, "*.{csv,tsv,CSV,TSV}", tab)
-    headers = lines.where(F.col("line_number") == 1).select(
-        "path", split_delimited(F.regexp_replace("line", "^﻿", ""), tab).alias("header"), "latin1"
-    )
+    lines, first, unclosed = delimited_records(spark, paths, "*.{csv,tsv,CSV,TSV}", tab)
+    headers = first.select("path", split_delimited(F.regexp_replace("line", "^﻿", ""), tab).alias("header"), "latin1")
+    # one row per file that is read three times; Spark then knows its size and the rows are not shuffled to meet it
+    headers = materialize(headers, "headers")
     rows = lines.where(F.col("line_number") > 1).select(
         "path", (F.col("line_number") - 1).alias("row_index"), split_delimited(F.col("line"), tab).alias("cells")
     )
